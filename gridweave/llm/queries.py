@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm import lsh, mixing, quality, simhash, toxicity, vafile
+from gridweave.llm import lsh, mixing, quality, simhash, tokens, toxicity, vafile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +89,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "severity", F.col("toxic_score").alias("score"), F.col("toxic_predicted").alias("predicted"))
 
 
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids as read back from the ORC files."""
+    import public_tokenizers
+
+    return tokens.write_and_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score and decision for every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -102,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_top_k": op2_top_k,
     "op4_mix_sources": op4_mix_sources,
     "op5_toxicity": op5_toxicity,
+    "op7_token_ids": op7_token_ids,
     "op9_quality": op9_quality,
     "op10_neighbours": op10_neighbours,
 }
