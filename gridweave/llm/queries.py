@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm import lsh, mixing, quality, simhash, tokens, toxicity, vafile
+from gridweave.llm import lsh, mixing, pieces, quality, simhash, tokens, toxicity, vafile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,13 @@ def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.top_k(_table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids and samples, by count, CRC-32, log probability and inclusion probability."""
+    import public_tokenizers
+
+    return pieces.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 OP2_SQL = """
 WITH e AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
@@ -107,6 +114,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_top_k": op2_top_k,
+    "op3_pieces": op3_pieces,
     "op4_mix_sources": op4_mix_sources,
     "op5_toxicity": op5_toxicity,
     "op7_token_ids": op7_token_ids,
