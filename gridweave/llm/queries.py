@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm import lsh, mixing, pieces, quality, simhash, tokens, toxicity, vafile
+from gridweave.llm import lsh, mixing, pieces, quality, simhash, tokens, toxicity, urls, vafile, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,6 +96,24 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "severity", F.col("toxic_score").alias("score"), F.col("toxic_predicted").alias("predicted"))
 
 
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's URL.
+
+    The last number in a URL's path is the document that the page shows; its labels mark the URL: bad if that document is of
+    low quality or toxic.
+    """
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("bad"))
+    shown = F.regexp_extract(urls.path_of(F.col("url")), r"/([0-9]{1,18})(?:\.[a-z]+)?/?$", 1)
+    labelled = pages.select("url", F.when(shown != "", shown.cast("long")).alias("doc_id")).join(labels, "doc_id").select("url", "bad")
+    return urls.judge(pages, urls.mine(labelled))
+
+
+def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return wrappers.extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids as read back from the ORC files."""
     import public_tokenizers
@@ -117,7 +135,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pieces": op3_pieces,
     "op4_mix_sources": op4_mix_sources,
     "op5_toxicity": op5_toxicity,
+    "op6_url_rules": op6_url_rules,
     "op7_token_ids": op7_token_ids,
+    "op8_page_text": op8_page_text,
     "op9_quality": op9_quality,
     "op10_neighbours": op10_neighbours,
 }
