@@ -71,6 +71,20 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = SOURCE_WEIGHTS,
     )
 
 
+def _drawn(id_col: str, size: Column | None, weight: Column | None) -> list[Column]:
+    size = word_count(F.col("text")) if size is None else size
+    weight = quality_weight(F.col("text")) if weight is None else weight
+    return [size.alias("size"), weight.cast("double").alias("w")]
+
+
+def _placed(id_col: str) -> list[Column]:
+    """size, w, key and bucket, from size and w; the bucket is a monotone map of the key, about even for weights near one."""
+    w = F.when((F.col("w") > 0) & ~F.isnan("w"), F.col("w")).otherwise(F.lit(0.1))
+    key = -F.ln(uniform(F.col(id_col))) / w
+    bucket = F.floor((F.lit(1.0) - F.exp(-key * F.lit(0.8))) * F.lit(BUCKETS - 1)).cast("int")
+    return [F.col("size"), w.alias("w"), key.alias("key"), bucket.alias("bucket")]
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, weight: Column | None = None,
         weights: tuple[int, ...] = SOURCE_WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """(doc_id, source, size, weight, source_size, target, epochs, taken): how often each row of ``docs`` is taken.
@@ -80,13 +94,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     like any other: equal ids share a key and are ordered by size, so reruns agree. ``taken`` counts words: size times
     (complete epochs + 1 if the fractional epoch selects the row). Empty tables give an empty result.
     """
-    size = word_count(F.col("text")) if size is None else size
-    weight = quality_weight(F.col("text")) if weight is None else weight
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), weight.cast("double").alias("w"))
-    w = F.when((F.col("w") > 0) & ~F.isnan("w"), F.col("w")).otherwise(F.lit(0.1))
-    rows = rows.withColumn("w", w).withColumn("key", -F.ln(uniform(F.col("doc_id"))) / F.col("w"))
-    # a monotone map of the key onto 0..BUCKETS-1, about even for weights near one
-    rows = rows.withColumn("bucket", F.floor((F.lit(1.0) - F.exp(-F.col("key") * F.lit(0.8))) * F.lit(BUCKETS - 1)).cast("int"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), *_drawn(id_col, size, weight)).select("doc_id", "source", *_placed("doc_id"))
     rows = staged(rows, "mix")
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     targets = source_targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, max_epochs)
@@ -103,3 +111,32 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     copies = F.col("epochs") + F.when(chosen & (F.col("epochs") < max_epochs), 1).otherwise(0)
     return r.select("doc_id", "source", "size", F.col("w").alias("weight"), "source_size", "target", "epochs",
                     copies.cast("long").alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = SOURCE_WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """The rows of ``docs`` (doc_id, source, text, ...), all columns, each as often as the mix takes it; the order has no meaning.
+
+    The decisions are those of ``mix``. No text is shuffled but that of the one range of keys of each source in which its
+    budget ends: ranges below it are taken whole and those above it aren't, which a table of one row per source tells.
+    """
+    names = [f"mix_{x}" for x in ("size", "w", "key", "bucket")]
+    rows = docs.select("*", *_drawn("doc_id", None, None)).select(*[F.col(c) for c in docs.columns], *[c.alias(n) for c, n in zip(_placed("doc_id"), names, strict=True)])
+    sums = staged(rows.groupBy("source", F.col("mix_bucket").alias("bucket")).agg(F.sum("mix_size").alias("bucket_size")), "mix-buckets")
+    targets = source_targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, max_epochs).alias("t")
+    up_to = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    ends = sums.withColumn("end", F.sum("bucket_size").over(up_to)).alias("b")
+    epochs = F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)).cast("long")
+    plan = ends.join(targets, F.col("b.source").eqNullSafe(F.col("t.source"))).select(
+        F.col("b.source").alias("mix_source"), "bucket", "bucket_size", "end", epochs.alias("mix_epochs"), (F.col("target") - epochs * F.col("source_size")).alias("mix_budget"))
+    # the first range that isn't taken whole, and where it starts
+    cut = F.min(F.when(F.col("end") > F.col("mix_budget"), F.struct("bucket", (F.col("end") - F.col("bucket_size")).alias("start"))))
+    plan = staged(plan.groupBy("mix_source").agg(F.first("mix_epochs").alias("mix_epochs"), F.first("mix_budget").alias("mix_budget"), cut.alias("cut")).select(
+        "mix_source", "mix_epochs", "mix_budget", F.coalesce("cut.bucket", F.lit(BUCKETS)).alias("mix_cut"), F.coalesce("cut.start", F.lit(0)).alias("mix_start")), "mix-plan")
+    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("mix_source")))
+    open_ = F.col("mix_epochs") < max_epochs
+    settled = joined.where("mix_bucket <> mix_cut").withColumn("mix_taken", F.col("mix_epochs") + F.when(open_ & (F.col("mix_bucket") < F.col("mix_cut")), 1).otherwise(0))
+    inside = Window.partitionBy("source").orderBy("mix_key", F.col("doc_id").asc_nulls_first(), "mix_size").rowsBetween(Window.unboundedPreceding, 0)
+    last = joined.where("mix_bucket = mix_cut").withColumn("mix_prefix", F.col("mix_start") + F.sum("mix_size").over(inside))
+    last = last.withColumn("mix_taken", F.col("mix_epochs") + F.when(open_ & (F.col("mix_prefix") <= F.col("mix_budget")), 1).otherwise(0))
+    every = settled.select(*docs.columns, "mix_taken").unionByName(last.select(*docs.columns, "mix_taken"))
+    return every.where("mix_taken > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_taken").cast("long")))).select(*docs.columns)
