@@ -1,0 +1 @@
+"""Monitors of running solves as streams of residuals."""
