@@ -19,6 +19,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 from typing import Any
 
 import numpy as np
@@ -38,16 +39,19 @@ CACHE = 400_000
 #: C0 on.
 _SAFE = bytes([9, 10, 13, *(c for c in range(0x20, 0x7F) if c != 0x27), *range(0xC0, 0x100)])
 _RUN = re.compile("[a-zß-öø-ÿ]+|[^\\sa-zß-öø-ÿ]+")
-_loaded: dict[str, tuple[Any, dict[str, bytes]]] = {}
+_loaded: dict[str, tuple[Any, np.ndarray, dict[str, bytes]]] = {}
 
 
-def _tokenizer(path: str) -> tuple[Any, dict[str, bytes]]:
-    """The tokenizer and the remembered runs of this process."""
+def _tokenizer(path: str) -> tuple[Any, np.ndarray, dict[str, bytes]]:
+    """The tokenizer, which ids end a word, and the remembered runs of this process."""
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _loaded[path] = (Tokenizer.from_file(path), {})
+        t = Tokenizer.from_file(path)
+        ends = np.zeros(t.get_vocab_size(), bool)
+        ends[[i for piece, i in t.get_vocab().items() if piece.endswith("</w>")]] = True
+        _loaded[path] = (t, ends, {})
     return _loaded[path]
 
 
@@ -61,18 +65,36 @@ def runs_of(text: str) -> list[str] | None:
     return _RUN.findall(text.lower())
 
 
+def _is_letters(run: str) -> bool:
+    return "a" <= run[0] <= "z" or ("ß" <= run[0] and run[0] != "÷")
+
+
+def _learn(runs: list[str], path: str) -> None:
+    """Encode runs and remember them. Runs of letters are one word each: they go as one text, cut at the ids that end words."""
+    tokenizer, ends, known = _tokenizer(path)
+    words = [r for r in runs if _is_letters(r)]
+    if words:
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        stops = ((np.flatnonzero(ends[ids]) + 1) * 4).tolist()
+        if len(stops) == len(words):
+            known.update(zip(words, map(ids.tobytes().__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True))
+    rest = [r for r in runs if r not in known]
+    known.update((r, np.array(e.ids, "<u4").tobytes()) for r, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True))
+
+
 def encode(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit integers, without special tokens."""
-    tokenizer, known = _tokenizer(path)
+    tokenizer, _, known = _tokenizer(path)
     split = [runs_of(t) for t in texts]
-    new = list(set().union(*(r for r in split if r is not None)).difference(known))
-    whole = [t for t, r in zip(texts, split, strict=True) if r is None]
-    if len(known) + len(new) > CACHE:
+    runs = lambda: chain.from_iterable(r for r in split if r is not None)
+    new = set(filterfalse(known.__contains__, runs()))
+    if new and len(known) + len(new) > CACHE:  # what these texts use stays
+        kept = {r: known[r] for r in set(runs()) if r in known}
         known.clear()
-        new = list(set().union(*(r for r in split if r is not None)))
-    for at in range(0, len(new), 4096):
-        for run, e in zip(new[at : at + 4096], tokenizer.encode_batch_fast(new[at : at + 4096], add_special_tokens=False), strict=True):
-            known[run] = np.array(e.ids, "<u4").tobytes()
+        known.update(kept)
+    if new:
+        _learn(list(new), path)
+    whole = [t for t, r in zip(texts, split, strict=True) if r is None]
     rest = iter(tokenizer.encode_batch_fast(whole, add_special_tokens=False) if whole else [])
     get = known.__getitem__
     return [np.array(next(rest).ids, "<u4").tobytes() if r is None else b"".join(map(get, r)) for r in split]
