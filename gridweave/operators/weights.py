@@ -49,9 +49,12 @@ def trivial(graph: Graph) -> Graph:
 def element_row_sums(elements: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Vertex and edge weights from element matrices (dofs, mat): |row sum| and |entry|, summed over elements."""
     n = F.size("dofs")
-    e = elements.select(F.monotonically_increasing_id().alias("el"), "dofs", n.alias("n"), F.posexplode("mat").alias("k", "v"))
-    e = e.select("el", F.get("dofs", F.floor(F.col("k") / F.col("n")).cast("int")).alias("i"), F.get("dofs", (F.col("k") % F.col("n")).cast("int")).alias("j"), "v")
-    vertices = e.groupBy("el", "i").agg(F.abs(F.sum("v")).alias("w")).groupBy(F.col("i").alias("vid")).agg(F.sum("w").alias("w"))
+    e = elements.select("dofs", n.alias("n"), F.posexplode("mat").alias("k", "v"))
+    e = e.select(F.get("dofs", F.floor(F.col("k") / F.col("n")).cast("int")).alias("i"), F.get("dofs", (F.col("k") % F.col("n")).cast("int")).alias("j"), "v")
+    # row sums are taken inside the element's array, so no element needs a number
+    row = lambda r: F.aggregate(F.slice("mat", (r * n + 1).cast("int"), n), F.lit(0.0), lambda a, x: a + x)
+    rows = elements.select(F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda r: F.struct(F.get("dofs", r).alias("vid"), F.abs(row(r)).alias("w")))).alias("r"))
+    vertices = rows.groupBy(F.col("r.vid").alias("vid")).agg(F.sum("r.w").alias("w"))
     edges = e.where("i < j").groupBy(F.col("i").alias("src"), F.col("j").alias("dst")).agg(F.sum(F.abs("v")).alias("w"))
     return vertices, edges
 

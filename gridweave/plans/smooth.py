@@ -189,7 +189,7 @@ class HybridGaussSeidel(Smoother):
         inner, _ = split_by_part(a, part)
         d = hybrid_diagonal(a, part)
         self.part, self.backward = part, backward
-        self.inner = inner.where("i <> j").unionByName(d.select("i", F.col("i").alias("j"), F.col("d").alias("v"))).join(part, "i").select("p", "i", "j", "v")
+        self.inner = inner.where("i <> j").unionByName(d.select("i", F.col("i").alias("j"), F.col("d").alias("v"))).join(part, "i").select(F.col("p").alias("p"), F.col("i").alias("i"), F.col("j").alias("j"), F.col("v").alias("v"))
 
     def update(self, res: DataFrame) -> DataFrame:
         back = self.backward
@@ -205,7 +205,7 @@ class HybridGaussSeidel(Smoother):
             lower = np.triu(full) if back else np.tril(full)
             return pd.DataFrame({"i": ids, "x": np.linalg.solve(lower, b) if n else b})
 
-        r = res.join(self.part, "i").select("p", "i", "x")
+        r = res.join(self.part, "i").select(F.col("p").alias("p"), F.col("i").alias("i"), F.col("x").alias("x"))
         return self.inner.groupBy("p").cogroup(r.groupBy("p")).applyInPandas(run, "i long, x double")
 
 
