@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Bound on the labelled rows used for fitting.
 MAX_TRAIN = 20_000
+#: Texts that a worker copies out of a batch at a time.
+SLICE = 256
 
 STATS = (
     "log_bytes", "log_words", "word_bytes", "distinct_words", "top_word", "adjacent_repeats", "log_lines", "distinct_lines", "line_words",
@@ -66,9 +68,16 @@ def document_stats(text: bytes) -> list[float]:
 
 
 def utf8_values(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
-    """The texts of an Arrow string column as bytes, nulls as empty, without decoding them."""
-    for x in column.cast(pa.large_binary()).to_pylist():
-        yield x or b""
+    """The texts of an Arrow string column as bytes, nulls as empty, without decoding them; few are copied at a time."""
+    for at in range(0, len(column), SLICE):
+        for x in column.slice(at, SLICE).cast(pa.binary()).to_pylist():
+            yield x or b""
+
+
+def texts_of(column: pa.Array | pa.ChunkedArray) -> Iterator[str | None]:
+    """The texts of an Arrow string column, few at a time."""
+    for at in range(0, len(column), SLICE):
+        yield from column.slice(at, SLICE).to_pylist()
 
 
 def batch_stats(texts: pa.Array) -> np.ndarray:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.quality import training_rows
+from gridweave.llm.quality import texts_of, training_rows
 from gridweave.session import staged
 
 MAX_TRAIN = 12_000
@@ -135,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_feat
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         positive, total = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
         for b in batches:
-            for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
+            for text, y in zip(texts_of(b.column("text")), b.column("y").to_pylist(), strict=True):
                 at = list({s for w in words(text) for s in slots(w, bits)})
                 total[at] += 1
                 if y:
@@ -156,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_feat
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found, strong = [], []
-            for text in b.column("text").to_pylist():
+            for text in texts_of(b.column("text")):
                 each = [slots(w, bits) for w in words(text)]
                 found.append(sorted({index[s] for x in each for s in x if s in index}))
                 strong.append(float(sum(any(s in toxic for s in x) for x in each)))
@@ -185,7 +185,7 @@ def score(docs: DataFrame, model: Ordinal) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, tuple[int, ...]] = {}
         for b in batches:
-            eta = np.array([sum(model.weights[s] for s in sorted(model.hits(t, cache))) for t in b.column("text").to_pylist()], dtype=np.float64)
+            eta = np.array([sum(model.weights[s] for s in sorted(model.hits(t, cache))) for t in texts_of(b.column("text"))], dtype=np.float64)
             p = model.exceedance(eta)
             out = [pa.array(p.sum(axis=1)), pa.array(p[:, 0].copy()), pa.array((p[:, 0] >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([*b.columns, *out], [*b.schema.names, *own])
