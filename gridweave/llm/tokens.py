@@ -15,89 +15,147 @@ one file. Offsets are sums over shards (one small row each) plus running sums in
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain, filterfalse
-from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridweave.llm.runs import Buffers, NumberTable, SegmentHash, ragged
 from gridweave.session import shared_dir, staged
 
 END_ID = 2
 ROW_INDEX = 1024
 STRIPE_BYTES = 16 << 20
-#: Runs that a worker remembers; beyond it the memory is cleared.
-CACHE = 400_000
+#: Runs that a worker remembers (about 40 bytes each); beyond it the memory is cleared. Documents encoded at once.
+CACHE = 1_000_000
+SLICE = 512
 
 #: Characters for which runs can be encoded one by one: printable ASCII but the apostrophe, tab, line ends, and what Latin-1 has from
 #: C0 on.
 _SAFE = bytes([9, 10, 13, *(c for c in range(0x20, 0x7F) if c != 0x27), *range(0xC0, 0x100)])
-_RUN = re.compile("[a-zß-öø-ÿ]+|[^\\sa-zß-öø-ÿ]+")
-_loaded: dict[str, tuple[Any, np.ndarray, dict[str, bytes]]] = {}
+#: Lower case of Latin-1, and the kind of each character: 0 white space, 1 letter, 2 other.
+_LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A or (0xC0 <= c <= 0xDE and c != 0xD7) else c for c in range(256))
+_KIND = np.array([0 if c in (9, 10, 13, 32) else 1 if 0x61 <= c <= 0x7A or (0xDF <= c and c != 0xF7) else 2 for c in range(256)], np.uint8)
+_loaded: dict[str, Encoder] = {}
 
 
-def _tokenizer(path: str) -> tuple[Any, np.ndarray, dict[str, bytes]]:
-    """The tokenizer, which ids end a word, and the remembered runs of this process."""
-    if path not in _loaded:
+def safe(text: str) -> bytes | None:
+    """The text in Latin-1, lower case, if its runs can be encoded one by one."""
+    try:
+        data = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    return None if data.translate(None, _SAFE) or b"<|" in data else data.translate(_LOWER)
+
+
+class Encoder:
+    """A tokenizer and the ids of the runs that this process has met, by number."""
+
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        ends = np.zeros(t.get_vocab_size(), bool)
-        ends[[i for piece, i in t.get_vocab().items() if piece.endswith("</w>")]] = True
-        _loaded[path] = (t, ends, {})
+        self.tokenizer = Tokenizer.from_file(path)
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends_word[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
+        self.hash, self.table = SegmentHash(), NumberTable(CACHE)
+        self.clear()
+
+    def clear(self) -> None:
+        self.table.clear()
+        self.count = 0
+        self.buffers = Buffers(self)
+        self.buffers.push(first=np.zeros(1, np.int64), ids=np.zeros(0, np.uint32))
+
+    def learn(self, runs: list[str]) -> None:
+        """Encode runs. Those of letters are one word each: they go as one text, cut at the ids that end words."""
+        word = np.array([_KIND[ord(r[0])] == 1 for r in runs], bool)
+        words = [r for r, w in zip(runs, word.tolist(), strict=True) if w]
+        others = [r for r, w in zip(runs, word.tolist(), strict=True) if not w]
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids if words else [], np.uint32)
+        stops = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(stops) != len(words):
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            ids, stops = np.array([i for e in each for i in e], np.uint32), np.cumsum([len(e) for e in each])
+        rest = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+        flat = np.concatenate([ids, np.array([i for e in rest for i in e], np.uint32)])
+        counts = np.concatenate([np.diff(stops, prepend=0), np.array([len(e) for e in rest], np.int64)]).astype(np.int64)
+        begin = np.cumsum(counts) - counts
+        order = np.concatenate([np.flatnonzero(word), np.flatnonzero(~word)])
+        place = np.argsort(order)
+        self.buffers.push(ids=flat[ragged(begin[place], counts[place])], first=self.first[-1] + np.cumsum(counts[place]))
+
+    def numbers(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, data: bytes) -> np.ndarray:
+        """The number of each run, new ones learned."""
+        h = self.hash(codes, starts, ends)
+        found = self.table.find(h)
+        gaps = np.flatnonzero(found < 0)
+        if len(gaps):
+            new, at, back = np.unique(h[gaps], return_index=True, return_inverse=True)
+            if self.count and self.count + len(new) > CACHE:
+                self.clear()
+                return self.numbers(codes, starts, ends, data)
+            at = gaps[at]
+            self.learn([data[x:y].decode("latin-1") for x, y in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            number = np.arange(self.count, self.count + len(new), dtype=np.int32)
+            if self.count + len(new) <= CACHE:
+                self.table.put(new, number)
+            self.count += len(new)
+            found[gaps] = number[back]
+            if self.count > CACHE:  # a block with more runs than are remembered
+                out = found.copy()
+                self.over = True
+                return out
+        return found
+
+    def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, each with the end id if given, and how many each has."""
+        data = [safe(t) for t in texts]
+        whole = [t for t, d in zip(texts, data, strict=True) if d is None]
+        joined = b"\n".join(d or b"" for d in data) + b"\n"
+        codes = np.frombuffer(joined, np.uint8)
+        kind = _KIND[codes]
+        cuts = np.concatenate([[0], np.flatnonzero(kind[1:] != kind[:-1]) + 1, [len(codes)]])
+        keep = kind[cuts[:-1]] != 0
+        starts, ends = cuts[:-1][keep], cuts[1:][keep]
+        found = self.numbers(codes, starts, ends, joined)
+        each = self.first[found.astype(np.int64) + 1] - self.first[found]
+        tokens = np.concatenate([[0], np.cumsum(each)])
+        stop = np.cumsum([len(d or b"") + 1 for d in data])
+        runs = np.searchsorted(starts, stop)  # runs before the end of each text
+        counts = np.diff(tokens[runs], prepend=0)
+        ids = self.ids[ragged(self.first[found], each)]
+        if getattr(self, "over", False):
+            self.over = False
+            self.clear()
+        if whole or end is not None:
+            parts, lone = [], iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False) if whole else [])
+            tail = np.zeros(0, np.uint32) if end is None else np.array([end], np.uint32)
+            at = 0
+            for i, d in enumerate(data):
+                own = ids[at : at + counts[i]] if d is not None else np.array(next(lone).ids, np.uint32)
+                at += counts[i]
+                counts[i] = len(own) + len(tail)
+                parts += [own, tail]
+            ids = np.concatenate(parts) if parts else ids
+        return ids, counts
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder of this process."""
+    if path not in _loaded:
+        _loaded[path] = Encoder(path)
     return _loaded[path]
 
 
-def runs_of(text: str) -> list[str] | None:
-    """The runs of a text that can be encoded one by one, else None."""
-    try:
-        if text.encode("latin-1").translate(None, _SAFE) or "<|" in text:
-            return None
-    except UnicodeEncodeError:
-        return None
-    return _RUN.findall(text.lower())
-
-
-def _is_letters(run: str) -> bool:
-    return "a" <= run[0] <= "z" or ("ß" <= run[0] and run[0] != "÷")
-
-
-def _learn(runs: list[str], path: str) -> None:
-    """Encode runs and remember them. Runs of letters are one word each: they go as one text, cut at the ids that end words."""
-    tokenizer, ends, known = _tokenizer(path)
-    words = [r for r in runs if _is_letters(r)]
-    if words:
-        ids = np.array(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        stops = ((np.flatnonzero(ends[ids]) + 1) * 4).tolist()
-        if len(stops) == len(words):
-            known.update(zip(words, map(ids.tobytes().__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True))
-    rest = [r for r in runs if r not in known]
-    known.update((r, np.array(e.ids, "<u4").tobytes()) for r, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True))
-
-
-def encode(texts: list[str], path: str) -> list[bytes]:
-    """The ids of each text as little-endian unsigned 32-bit integers, without special tokens."""
-    tokenizer, _, known = _tokenizer(path)
-    split = [runs_of(t) for t in texts]
-    runs = lambda: chain.from_iterable(r for r in split if r is not None)
-    new = set(filterfalse(known.__contains__, runs()))
-    if new and len(known) + len(new) > CACHE:  # what these texts use stays
-        kept = {r: known[r] for r in set(runs()) if r in known}
-        known.clear()
-        known.update(kept)
-    if new:
-        _learn(list(new), path)
-    whole = [t for t, r in zip(texts, split, strict=True) if r is None]
-    rest = iter(tokenizer.encode_batch_fast(whole, add_special_tokens=False) if whole else [])
-    get = known.__getitem__
-    return [np.array(next(rest).ids, "<u4").tobytes() if r is None else b"".join(map(get, r)) for r in split]
+def encode(texts: list[str], path: str) -> list[list[int]]:
+    """The ids of each text, without special tokens."""
+    ids, counts = encoder_of(path).encode(texts)
+    return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] if len(counts) else []
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
@@ -106,16 +164,14 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> N
     Null texts count as empty and have the end id only. Null ids come first; rows that share an id are ordered by a hash of
     the text. An empty table writes no rows.
     """
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pos = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                b = batch.slice(at, 512)
-                data = [x + end for x in encode([t or "" for t in b.column("text").to_pylist()], tokenizer)]
-                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in data])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(data), "<i4")))
+            for at in range(0, batch.num_rows, SLICE):
+                b = batch.slice(at, SLICE)
+                flat, counts = encoder_of(tokenizer).encode([t or "" for t in b.column("text").to_pylist()], end_id)
+                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(pos, pos + b.num_rows)), b.column("doc_id"), ids], ["pos", "doc_id", "ids"])
                 pos += b.num_rows
 
