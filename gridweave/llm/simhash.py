@@ -200,7 +200,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def dedup(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
-    """(doc_id, th, fp, component_id) for every row of ``docs`` (doc_id, text): component_id is the smallest doc_id reachable.
+    """(doc_id, th, fp, root, component_id) for every row of ``docs`` (doc_id, text): component_id is the smallest doc_id reachable.
 
     Documents are linked if their fingerprints differ by at most ``radius`` bits; equal ones need no comparison. Rows with
     null ids are rows like any other, but never name a component that has an id (one with null ids only gets null). Repeated
@@ -212,19 +212,17 @@ def dedup(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
     named = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = staged(named, "simhash-classes")
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(named.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "th", "fp", "component_id")
+    return rows.join(named.join(smallest, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
     """The rows of ``docs``, all columns, of which one is left for each component: that of the smallest id, null last.
 
-    Rows that share that id are told apart by a hash of the text; of equal ones, one is left. Components of null ids only are
-    kept apart by fingerprint. Only rows that repeat an id and a text are shuffled to leave one of them.
+    Rows that share that id are told apart by a hash of the text; of equal ones, one is left. Only rows that repeat an id and a text are shuffled to leave one of them.
     """
     rows = staged(dedup(docs, radius, shingle), "simhash-members")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th"))
-    group = ["component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("lone")]
-    best = rows.groupBy(*group).agg(first.alias("best")).select(F.col("best.doc_id").alias("k_id"), F.col("best.th").alias("k_th")).distinct()
+    best = rows.groupBy("root").agg(first.alias("best")).select(F.col("best.doc_id").alias("k_id"), F.col("best.th").alias("k_th")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("th") == F.col("k_th"))
     keys = rows.join(best, same, "left_semi").groupBy(F.col("doc_id").alias("k_id"), F.col("th").alias("k_th")).agg(F.count(F.lit(1)).alias("n"))
     keys = staged(keys, "simhash-kept")
