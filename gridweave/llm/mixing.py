@@ -74,15 +74,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = SOURCE_WEIGHTS,
 def _drawn(id_col: str, size: Column | None, weight: Column | None) -> list[Column]:
     size = word_count(F.col("text")) if size is None else size
     weight = quality_weight(F.col("text")) if weight is None else weight
-    return [size.alias("size"), weight.cast("double").alias("w")]
+    return [size.alias("mix__size"), weight.cast("double").alias("mix__w")]
 
 
 def _placed(id_col: str) -> list[Column]:
     """size, w, key and bucket, from size and w; the bucket is a monotone map of the key, about even for weights near one."""
-    w = F.when((F.col("w") > 0) & ~F.isnan("w"), F.col("w")).otherwise(F.lit(0.1))
+    w = F.when((F.col("mix__w") > 0) & ~F.isnan("mix__w"), F.col("mix__w")).otherwise(F.lit(0.1))
     key = -F.ln(uniform(F.col(id_col))) / w
     bucket = F.floor((F.lit(1.0) - F.exp(-key * F.lit(0.8))) * F.lit(BUCKETS - 1)).cast("int")
-    return [F.col("size"), w.alias("w"), key.alias("key"), bucket.alias("bucket")]
+    return [F.col("mix__size").alias("size"), w.alias("w"), key.alias("key"), bucket.alias("bucket")]
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, weight: Column | None = None,
@@ -116,7 +116,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
 def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = SOURCE_WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """The rows of ``docs`` (doc_id, source, text, ...), all columns, each as often as the mix takes it; the order has no meaning.
 
-    The decisions are those of ``mix``. No text is shuffled but that of the one range of keys of each source in which its
+    The decisions are those of ``mix``. Columns of ``docs`` may have any names but those that begin with ``mix_``. No text is shuffled but that of the one range of keys of each source in which its
     budget ends: ranges below it are taken whole and those above it aren't, which a table of one row per source tells.
     """
     names = [f"mix_{x}" for x in ("size", "w", "key", "bucket")]

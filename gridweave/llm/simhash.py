@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.llm.quality import utf8_values
+from gridweave.llm.runs import release
 from gridweave.session import staged
 
 #: Most fingerprints of one tile, and rows of one numpy comparison.
@@ -68,6 +69,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
         for b in batches:
             fp = np.fromiter((fingerprint(shingle_hashes(t, shingle)) for t in utf8_values(b.column("text"))), np.int64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(fp)], ["doc_id", "th", "fp"])
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, th long, fp long")
 

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.llm.quality import texts_of, training_rows
+from gridweave.llm.runs import release
 from gridweave.session import staged
 
 MAX_TRAIN = 12_000
@@ -142,6 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_feat
                     positive[at] += 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(positive[at].astype(np.int64)), pa.array(total[at].astype(np.int64))], ["slot", "a", "n"])
+        del positive, total, at
+        release()
 
     counts = rows.mapInArrow(count, "slot long, a long, n long").groupBy("slot").agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
     sums = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
@@ -189,5 +192,7 @@ def score(docs: DataFrame, model: Ordinal) -> DataFrame:
             p = model.exceedance(eta)
             out = [pa.array(p.sum(axis=1)), pa.array(p[:, 0].copy()), pa.array((p[:, 0] >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([*b.columns, *out], [*b.schema.names, *own])
+        cache.clear()
+        release()
 
     return docs.drop(*own).mapInArrow(run, schema)
