@@ -81,7 +81,7 @@ def map_loops(loops: DataFrame, emap: DataFrame) -> DataFrame:
         turned = [-x for x in reversed(chain)]
         forms = [c[k:] + c[:k] for c in (chain, turned) for k in range(len(c))]
         best = min(forms) if forms else []
-        return pd.DataFrame({"loop_id": pd.Series([int(p["loop_id"].iloc[0])] * bool(best), dtype="int64"), "chain": [best] if best else []})
+        return pd.DataFrame({"loop_id": pd.Series([int(p["loop_id"].iloc[0])] * bool(best), dtype="int64"), "chain": pd.Series([best] if best else [], dtype=object)})
 
     chains = mapped.groupBy("loop_id").applyInPandas(run, "loop_id long, chain array<long>")
     unique = chains.groupBy("chain").agg(F.min("loop_id").alias("loop_id"))
