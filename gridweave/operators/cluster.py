@@ -70,19 +70,17 @@ def handshake(candidates: DataFrame, rounds: int, stage: bool = True) -> DataFra
 
     With ``stage`` unset the rounds stay one lazy plan.
     """
-    open_ = candidates.select("src", "dst", "soc")
-    found: DataFrame | None = None
+    open_, found = candidates.select("src", "dst", "soc"), None
     for _ in range(rounds):
         pairs = mutual(open_)
         if stage:
             pairs = staged(pairs, "pairs")
-            if pairs.limit(1).count() == 0:
+            if pairs.isEmpty():
                 break
         found = pairs if found is None else found.unionByName(pairs)
-        taken = pairs.select(F.explode(F.array("a", "b")).alias("v"))
-        open_ = open_.join(taken, F.col("src") == F.col("v"), "left_anti").join(taken, F.col("dst") == F.col("v"), "left_anti")
-        if stage:
-            open_ = staged(open_, "open")
+        # what is open follows from the candidates and all pairs so far, so that only pairs are written
+        taken = found.select(F.explode(F.array("a", "b")).alias("v"))
+        open_ = candidates.select("src", "dst", "soc").join(taken, F.col("src") == F.col("v"), "left_anti").join(taken, F.col("dst") == F.col("v"), "left_anti")
     return pairs if found is None else found
 
 
@@ -167,7 +165,7 @@ def luby(vertices: DataFrame, edges: DataFrame, dist2: bool = False, rounds: int
         found = new if found is None else found.unionByName(new)
         near = adj.join(new.select(F.col("vid").alias("src")), "src").select(F.col("dst").alias("vid")).unionByName(new).distinct()
         open_ = hold(open_.join(near, "vid", "left_anti"), "mis-open")
-        if stage and open_.limit(1).count() == 0:
+        if stage and open_.isEmpty():
             break
     return found
 
@@ -215,7 +213,7 @@ def plate_test(vertices: DataFrame, edges: DataFrame, rounds: int = 50, stage: b
             continue
         hop = staged(hop, "plate")
         now = hop.select("f", F.col("nc").alias("c"))
-        if hop.where("c <> nc").limit(1).count() == 0:
+        if hop.where("c <> nc").isEmpty():
             break
     return now
 

@@ -105,7 +105,7 @@ def color(a: DataFrame, rounds: int = 200, stage: bool = True) -> DataFrame:
         new = new.select("i", F.array_min(F.array_except(F.sequence(F.lit(0), F.size("used")), "used")).cast("int").alias("color"))
         done = hold(done.unionByName(new))
         open_ = hold(open_.join(done.select("i"), "i", "left_anti"))
-        if stage and open_.limit(1).count() == 0:
+        if stage and open_.isEmpty():
             break
     return done
 
