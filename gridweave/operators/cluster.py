@@ -98,8 +98,10 @@ def orphans_join(vmap: DataFrame, edges: DataFrame, data: DataFrame, thresh: flo
     sizes = vmap.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
     sized = vmap.join(sizes, "c")
     lone, rest = sized.where("n = 1").select("f", "c"), sized.where("n > 1").select("f", "c")
-    tied = soc_join(edges, data).join(lone.select(F.col("f").alias("src")), "src").join(rest.select(F.col("f").alias("dst"), "c"), "dst")
-    by_cluster = tied.groupBy("src", "c").agg(F.sum("soc").alias("soc")).where(F.col("soc") >= thresh)
+    # weights are summed before the division, so that whole numbers give the same score in any order
+    tied = adjacency(edges.select("src", "dst", "w")).join(lone.select(F.col("f").alias("src")), "src").join(rest.select(F.col("f").alias("dst"), "c"), "dst")
+    summed = tied.groupBy("src", "c").agg(F.sum("w").alias("w")).join(data.select(F.col("vid").alias("src"), "max_od"), "src")
+    by_cluster = summed.select("src", "c", F.when(F.col("max_od") > 0, F.col("w") / F.col("max_od")).otherwise(0.0).alias("soc")).where(F.col("soc") >= thresh)
     best = by_cluster.groupBy("src").agg(F.min(F.struct((-F.col("soc")).alias("s"), tie_hash(F.col("src"), F.col("c")).alias("h"), F.col("c").alias("c"))).alias("o")).select(F.col("src").alias("f"), F.col("o.c").alias("nc"))
     return vmap.join(best, "f", "left").select("f", F.coalesce("nc", "c").alias("c"))
 

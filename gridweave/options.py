@@ -54,7 +54,9 @@ class Options:
     sm_symm: bool = False
     energy: str = "alg"
     #: Matching rounds inside one pairing; most pairs are found in the first ones and orphans join a cluster after the last.
-    handshakes: int = 4
+    handshakes: int = 3
+    #: Levels of at most so many edges are clustered in numpy on the driver (a few MB); 0 turns it off.
+    local_edges: int = 200_000
     #: Vertices that one task is meant to hold; levels are dealt over as many partitions as that takes.
     vertices_per_task: int = 250_000
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from gridweave.functions.columns import coarsening_goal, level_partitions
 from gridweave.operators import cluster, coarsen, linalg, prolong, weights
 from gridweave.options import Options
+from gridweave.plans import local
 from gridweave.session import staged
 from gridweave.sources.graphs import Graph
 
@@ -106,7 +107,9 @@ def clusters_of(level: int, graph: Graph, o: Options, fixed: DataFrame | None =
     data = staged(weights.aux_diagonal(graph), "aux")
     edges = graph.edges.select("src", "dst", "w")
     kind, alg = o.spw_pick_avg.at(level), o.crs_alg.at(level)
-    if alg == "spw":
+    if alg == "spw" and fixed is None and o.local_edges and edges.limit(o.local_edges + 1).count() <= o.local_edges:
+        got = local.spw(live, edges, data, o.spw_rounds.at(level), o.handshakes, kind, o.edge_thresh, o.spw_orphan_treatment)
+    elif alg == "spw":
         got = cluster.spw(live, edges, data, o.spw_rounds.at(level), o.handshakes, kind, o.edge_thresh, o.spw_orphan_treatment, fixed)
     elif alg == "mis":
         keep = edges.join(live.select(F.col("vid").alias("src")), "src", "left_semi").join(live.select(F.col("vid").alias("dst")), "dst", "left_semi")

@@ -338,8 +338,8 @@ def pair_handshake(spark, d):
 
 _ORPHANS = f"""pm AS (SELECT vid AS f, coalesce(a, vid) AS c FROM verts LEFT JOIN (SELECT a, a AS m FROM pairs UNION ALL SELECT a, b FROM pairs) ON m = vid),
 sz AS (SELECT c, count(*) n FROM pm GROUP BY c), lone AS (SELECT f FROM pm JOIN sz USING (c) WHERE n = 1), rest AS (SELECT f, c FROM pm JOIN sz USING (c) WHERE n > 1),
-tied AS (SELECT adj.src, c, sum(adj.w / max_od) AS soc FROM adj JOIN data ON vid = adj.src JOIN lone ON lone.f = adj.src JOIN rest ON rest.f = adj.dst GROUP BY 1, 2 HAVING sum(adj.w / max_od) >= 0.025),
-wish AS (SELECT src, c AS nc FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(soc, 9) DESC, {tie('src', 'c')}, c) AS r FROM tied) WHERE r = 1),
+tied AS (SELECT adj.src, c, sum(adj.w) / any_value(max_od) AS soc FROM adj JOIN data ON vid = adj.src JOIN lone ON lone.f = adj.src JOIN rest ON rest.f = adj.dst GROUP BY 1, 2 HAVING sum(adj.w) / any_value(max_od) >= 0.025),
+wish AS (SELECT src, c AS nc FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY soc DESC, {tie('src', 'c')}, c) AS r FROM tied) WHERE r = 1),
 joined AS (SELECT pm.f, coalesce(nc, c) AS c FROM pm LEFT JOIN wish ON src = pm.f)"""
 
 

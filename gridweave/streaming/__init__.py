@@ -1 +1 @@
-"""Monitors of running solves as streams of residuals."""
+"""Kept for the layout: the engine has no streaming operators."""

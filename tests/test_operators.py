@@ -157,6 +157,19 @@ def test_clusters(spark, grid):
     assert all(v in seeds or any((min(v, s), max(v, s)) in pairs for s in seeds) for v in range(144))
 
 
+@pytest.mark.parametrize("kind", ["geom", "harm", "min", "alg", "max", "hharm"])
+def test_local_clusters_equal_the_distributed_ones(spark, sf_dir, kind):
+    from gridweave.operators import weights
+    from gridweave.plans import local
+
+    edges = graphs.copurchase(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), 1).cache()
+    data = weights.aux_diagonal(graphs.Graph(graphs.vertices_of(edges), edges)).cache()
+    live = data.where("vid % 11 <> 0").select("vid")
+    want = cluster.spw(live, edges, data, 2, 2, kind).toPandas()
+    got = local.spw(live, edges, data, 2, 2, kind, 0.025, True).toPandas()
+    assert dict(zip(got.f, got.c)) == dict(zip(want.f, want.c)) and want.c.nunique() < len(want)
+
+
 def test_options():
     o = Options.of(sp_omega_spec=[0.5, 0.7], max_levels=3)
     assert (o.sp_omega.at(0), o.sp_omega.at(1), o.sp_omega.at(2), o.max_levels) == (0.5, 0.7, 1.0, 3)
