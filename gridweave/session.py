@@ -33,3 +33,9 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def purge(spark: SparkSession) -> None:
+    """Delete what this application has staged. Results that read from it must have been written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -20,6 +20,9 @@ def spark():
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    from gridweave.session import purge
+
+    purge(s)
     s.stop()
 
 
