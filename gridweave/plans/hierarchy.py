@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridweave.functions.columns import coarsening_goal, level_partitions
@@ -86,8 +86,9 @@ class Hierarchy:
 
 def complexity(sizes: DataFrame) -> DataFrame:
     """Adds the sums over all levels of vertices and entries, relative to level 0: one row's values on every row."""
-    all_ = sizes.agg(F.sum("nv").alias("sv"), F.sum("nnz").alias("sn"), F.max(F.when(F.col("level") == 0, F.col("nv"))).alias("v0"), F.max(F.when(F.col("level") == 0, F.col("nnz"))).alias("n0"))
-    return sizes.crossJoin(F.broadcast(all_)).select("level", "nv", "ne", "nnz", F.round(F.col("sv") / F.col("v0"), 6).alias("v_complexity"), F.round(F.col("sn") / F.col("n0"), 6).alias("op_complexity"))
+    every = Window.partitionBy()
+    ratio = lambda c: F.round(F.sum(c).over(every) / F.max(F.when(F.col("level") == 0, F.col(c))).over(every), 6)
+    return sizes.select("level", "nv", "ne", "nnz", ratio("nv").alias("v_complexity"), ratio("nnz").alias("op_complexity"))
 
 
 def cycle_complexity(sizes: DataFrame, cycle: str) -> DataFrame:
