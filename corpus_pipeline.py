@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridweave.llm import mixing, pieces, quality, simhash, toxicity
+from gridweave.llm import mixing, neardup, pieces, quality, toxicity
 from gridweave.session import staged
 
 
@@ -30,8 +30,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8), that of the smallest id."""
+    return neardup.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -222,7 +222,11 @@ def keep_one(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
 
     Rows that share that id are told apart by a hash of the text; of equal ones, one is left. Only rows that repeat an id and a text are shuffled to leave one of them.
     """
-    rows = staged(dedup(docs, radius, shingle), "simhash-members")
+    return keep_first(docs, staged(dedup(docs, radius, shingle), "simhash-members"))
+
+
+def keep_first(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """What ``keep_one`` leaves, for components given as rows (doc_id, th, root)."""
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th"))
     best = rows.groupBy("root").agg(first.alias("best")).select(F.col("best.doc_id").alias("k_id"), F.col("best.th").alias("k_th")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("th") == F.col("k_th"))
