@@ -109,7 +109,7 @@ def robust_soc(spark, d):
 
 @query()
 def graph_partition(spark, d):
-    e = held_edges(spark, d)
+    e = held_edges(spark, d, 1)
     g = graph_of(e)
     clusters = staged(hier.clusters_of(0, g, hier.Options()).where("c is not null"), "clusters")
     return elastic.partition(g.vertices, clusters, 4)
