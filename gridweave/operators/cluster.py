@@ -169,6 +169,9 @@ def luby(vertices: DataFrame, edges: DataFrame, dist2: bool = False, rounds: int
         open_ = hold(open_.join(near, "vid", "left_anti"), "mis-open")
         if stage and open_.isEmpty():
             break
+    else:
+        if stage:
+            raise RuntimeError(f"the independent set isn't maximal after {rounds} rounds")
     return found
 
 
@@ -217,6 +220,9 @@ def plate_test(vertices: DataFrame, edges: DataFrame, rounds: int = 50, stage: b
         now = hop.select("f", F.col("nc").alias("c"))
         if hop.where("c <> nc").isEmpty():
             break
+    else:
+        if stage:
+            raise RuntimeError(f"the labels did not settle in {rounds} rounds")
     return now
 
 

@@ -107,6 +107,9 @@ def color(a: DataFrame, rounds: int = 200, stage: bool = True) -> DataFrame:
         open_ = hold(open_.join(done.select("i"), "i", "left_anti"))
         if stage and open_.isEmpty():
             break
+    else:
+        if stage:
+            raise RuntimeError(f"vertices without a colour after {rounds} rounds")
     return done
 
 

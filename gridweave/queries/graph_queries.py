@@ -389,7 +389,7 @@ o{k + 1} AS MATERIALIZED (SELECT * FROM o{k} WHERE vid NOT IN (SELECT vid FROM m
 @query(f"WITH {EDGES}, {VERTS}, {luby_sql(6)} SELECT vid FROM mis")
 def luby_mis(spark, d):
     e = held_edges(spark, d)
-    return cluster.luby(graph_of(e).vertices.select("vid"), e, rounds=6)
+    return cluster.luby(graph_of(e).vertices.select("vid"), e)
 
 
 @query()
