@@ -24,15 +24,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridweave.llm.runs import Buffers, NumberTable, SegmentHash, ragged
+from gridweave.llm.runs import Buffers, Segments, blocks, ragged, release
 from gridweave.session import shared_dir, staged
 
 END_ID = 2
 ROW_INDEX = 1024
 STRIPE_BYTES = 16 << 20
-#: Runs that a worker remembers (about 40 bytes each); beyond it the memory is cleared. Documents encoded at once.
-CACHE = 1_000_000
+#: Runs that a worker remembers, and characters of them; beyond either the memory is cleared. At these figures it takes 50 MB at most,
+#: but for a block of text that has more by itself.
+CACHE = 600_000
+CACHE_CHARS = 6_000_000
+#: Documents taken from a batch at once, and characters encoded at once.
 SLICE = 512
+BLOCK_CHARS = 1_000_000
 
 #: Characters for which runs can be encoded one by one: printable ASCII but the apostrophe, tab, line ends, and what Latin-1 has from
 #: C0 on.
@@ -62,14 +66,22 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends_word[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
-        self.hash, self.table = SegmentHash(), NumberTable(CACHE)
+        self.known = Segments(np.uint8, CACHE, CACHE_CHARS)
+        self.buffers = Buffers(self, first=(np.int64, CACHE + 1), ids=(np.uint32, CACHE_CHARS))
         self.clear()
 
     def clear(self) -> None:
-        self.table.clear()
-        self.count = 0
-        self.buffers = Buffers(self)
-        self.buffers.push(first=np.zeros(1, np.int64), ids=np.zeros(0, np.uint32))
+        self.known.clear()
+        self.buffers.clear()
+        self.buffers.push(first=np.zeros(1, np.int64))
+
+    def forget(self) -> None:
+        """Forget the runs that are used least."""
+        kept = self.known.forget()
+        each = self.first[kept + 1] - self.first[kept]
+        ids = self.ids[ragged(self.first[kept], each)]
+        self.buffers.clear()
+        self.buffers.push(first=np.concatenate([np.zeros(1, np.int64), np.cumsum(each)]), ids=ids)
 
     def learn(self, runs: list[str]) -> None:
         """Encode runs. Those of letters are one word each: they go as one text, cut at the ids that end words."""
@@ -91,25 +103,16 @@ class Encoder:
 
     def numbers(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, data: bytes) -> np.ndarray:
         """The number of each run, new ones learned."""
-        h = self.hash(codes, starts, ends)
-        found = self.table.find(h)
-        gaps = np.flatnonzero(found < 0)
-        if len(gaps):
-            new, at, back = np.unique(h[gaps], return_index=True, return_inverse=True)
-            if self.count and self.count + len(new) > CACHE:
-                self.clear()
-                return self.numbers(codes, starts, ends, data)
-            at = gaps[at]
-            self.learn([data[x:y].decode("latin-1") for x, y in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            number = np.arange(self.count, self.count + len(new), dtype=np.int32)
-            if self.count + len(new) <= CACHE:
-                self.table.put(new, number)
-            self.count += len(new)
-            found[gaps] = number[back]
-            if self.count > CACHE:  # a block with more runs than are remembered
-                out = found.copy()
-                self.over = True
-                return out
+        got = self.known.number(codes, starts, ends)
+        if got is None:
+            self.forget()
+            got = self.known.number(codes, starts, ends)
+        if got is None:
+            self.clear()
+            return self.numbers(codes, starts, ends, data)
+        found, new = got
+        if len(new):
+            self.learn([data[x:y].decode("latin-1") for x, y in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
         return found
 
     def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -123,15 +126,12 @@ class Encoder:
         keep = kind[cuts[:-1]] != 0
         starts, ends = cuts[:-1][keep], cuts[1:][keep]
         found = self.numbers(codes, starts, ends, joined)
-        each = self.first[found.astype(np.int64) + 1] - self.first[found]
+        each = self.first[found + 1] - self.first[found]
         tokens = np.concatenate([[0], np.cumsum(each)])
         stop = np.cumsum([len(d or b"") + 1 for d in data])
         runs = np.searchsorted(starts, stop)  # runs before the end of each text
         counts = np.diff(tokens[runs], prepend=0)
         ids = self.ids[ragged(self.first[found], each)]
-        if getattr(self, "over", False):
-            self.over = False
-            self.clear()
         if whole or end is not None:
             parts, lone = [], iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False) if whole else [])
             tail = np.zeros(0, np.uint32) if end is None else np.array([end], np.uint32)
@@ -154,10 +154,18 @@ def encoder_of(path: str) -> Encoder:
 
 def encode(texts: list[str], path: str) -> list[list[int]]:
     """The ids of each text, without special tokens."""
-    ids, counts = encoder_of(path).encode(texts)
+    ids, counts = encode_flat(texts, path)
     return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] if len(counts) else []
 
 
+def encode_flat(texts: list[str], path: str, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """``Encoder.encode``, a block of characters at a time."""
+    parts = [encoder_of(path).encode(texts[a:z], end) for a, z in blocks(texts, BLOCK_CHARS)]
+    if not parts:
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
     """Encode every row of ``docs`` (doc_id, text) and write the ORC files.
 
@@ -169,11 +177,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> N
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 b = batch.slice(at, SLICE)
-                flat, counts = encoder_of(tokenizer).encode([t or "" for t in b.column("text").to_pylist()], end_id)
+                flat, counts = encode_flat([t or "" for t in b.column("text").to_pylist()], tokenizer, end_id)
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(pos, pos + b.num_rows)), b.column("doc_id"), ids], ["pos", "doc_id", "ids"])
                 pos += b.num_rows
+        release()
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("h", F.xxhash64("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("h")]

@@ -8,6 +8,7 @@ from tokenizers import Tokenizer
 
 from gridweave.llm import tokens
 from gridweave.llm.queries import QUERIES
+from tests.llm.test_runs import thue_morse
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -32,6 +33,24 @@ def test_encode_equals_the_library(text):
     assert tokens.encode([text, "again", text], PATH) == [ids(text), ids("again"), ids(text)]
 
 
+def test_words_of_equal_hashes():
+    for n in (1024, 2048, 4096):
+        for pair in (thue_morse(n), thue_morse(n)[::-1]):
+            tokens.encoder_of(PATH).clear()
+            assert tokens.encode([*pair, f"so {pair[1]} and {pair[0]}"], PATH) == [ids(pair[0]), ids(pair[1]), ids(f"so {pair[1]} and {pair[0]}")]
+            assert tokens.encode(list(pair[::-1]), PATH) == [ids(t) for t in pair[::-1]]
+
+
+def test_memory_that_is_full():
+    encoder = tokens.Encoder(PATH)
+    encoder.known = tokens.Segments(np.uint8, 30, 150)
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        texts = [" ".join(rng.choice(["the", "of", f"word{rng.integers(99)}", "x" * int(rng.integers(1, 40)), "!?"], 6)) for _ in range(4)]
+        got, counts = encoder.encode(texts)
+        assert got.tolist() == [i for t in texts for i in ids(t)] and counts.tolist() == [len(ids(t)) for t in texts]
+
+
 def test_edge_cases(spark, tmp_path):
     rows = [(5, "It's <|endoftext|> here", 1), (5, "b", 1), (None, "x", 1), (1, None, 1), (2, "", 1), (7, "word " * 20_000, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, pos int")
