@@ -50,15 +50,23 @@ def shingle_hashes(text: bytes, size: int = 3, seed: int = SEED) -> np.ndarray:
     return np.fromiter((h(joined[a:b], seed) for a, b in zip(starts[: -(size - 1)].tolist(), ends[size - 1 :].tolist(), strict=True)), np.uint64, len(words) - size + 1)
 
 
+def bit_sums(hashes: np.ndarray) -> np.ndarray:
+    """How many rows of a matrix of 64-bit words have each bit; in bytes, as 255 rows at most are added up in one."""
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8), axis=1, bitorder="little")
+    whole = len(bits) // 255 * 255
+    total = bits[whole:].sum(axis=0, dtype=np.uint8).astype(np.int64)
+    if whole:
+        total += bits[:whole].reshape(-1, 255, bits.shape[1]).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+    return total
+
+
 def fingerprint(hashes: np.ndarray) -> int:
     """64 bits, as a signed number; zero if there are no hashes."""
     if not len(hashes):
         return 0
-    # bit counts by byte: 255 rows at most fit in each of the eight 8-bit lanes
     total = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 14):
-        bits = np.unpackbits(hashes[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        total += bits.sum(axis=0, dtype=np.int32)
+        total += bit_sums(hashes[at : at + (1 << 14), None])
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<i8")[0])
 
 

@@ -9,27 +9,31 @@ from gridweave.llm import neardup
 SCHEMA = "doc_id long, text string"
 
 
-def jaccard(a, b):
-    def grams(text):
-        words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
-        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else {()}
+def grams(text):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else {()}
+
 
+def jaccard(a, b):
     x, y = grams(a), grams(b)
     return len(x & y) / len(x | y)
 
 
 def slow_kept(rows):
+    """The smallest id of each group, by all pairs."""
     root = {i: i for i, _ in rows}
+    sets = [grams(t) for _, t in rows]
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    for k, (i, s) in enumerate(rows):
-        for j, t in rows[:k]:
-            if jaccard(s, t) >= 0.8:
-                a, b = sorted((find(i), find(j)))
+    for k, (i, _) in enumerate(rows):
+        for j in range(k):
+            x, y = sets[k], sets[j]
+            if 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) and len(x & y) / len(x | y) >= 0.8:
+                a, b = sorted((find(i), find(rows[j][0])))
                 root[b] = a
     return sorted({find(i) for i, _ in rows})
 
@@ -58,16 +62,40 @@ def test_planted_copies(spark):
     assert got == slow_kept(rows)
 
 
-@pytest.mark.parametrize("stars, pairs", [(0, 0), (2, 0)])
-def test_rounds_lose_no_link(spark, stars, pairs):
-    """A chain of texts and a large group, whose ends aren't similar."""
+@pytest.mark.parametrize("tile", [3, 16, 4096])
+def test_tiles_lose_no_link(spark, tile):
+    """A chain of texts whose ends aren't similar, a large group, and texts at the edge of the similarity, in tiles of any size."""
     base = [f"b{x}" for x in range(120)]
     rows = [(k, " ".join([*(f"x{k}y{x}" for x in range(k)), *base[k:]])) for k in range(30)]
-    got = neardup.groups(spark.createDataFrame(rows, SCHEMA), stars, pairs).collect()
+    rows += [(100 + k, " ".join([*(f"c{x}" for x in range(k % 7 + 60)), f"end{k}"])) for k in range(40)]
+    rows += [(200 + k, " ".join(f"s{x}" for x in range(k))) for k in range(30)]
+    got = neardup.groups(spark.createDataFrame(rows, SCHEMA), tile).collect()
     want = slow_kept(rows)
     assert len({r.root for r in got}) == len(want) < len(rows)
 
 
+def test_candidates_against_all_pairs(spark):
+    rows = planted(12, 5)
+    sets = {i: neardup.shingle_set(t.encode()) for i, t in rows}
+    fps = {i: neardup.wide_fingerprint(s) for i, s in sets.items()}
+    nodes = spark.createDataFrame([(i, len(sets[i]), i // 2000, *(int(w) for w in fps[i].view(np.int64))) for i in sets], "node long, size long, root long, w0 long, w1 long, w2 long, w3 long")
+    near = lambda a, b: int(np.bitwise_count(fps[a] ^ fps[b]).sum()) <= neardup.RADIUS and 5 * min(len(sets[a]), len(sets[b])) >= 4 * max(len(sets[a]), len(sets[b]))
+    want = {(a, b) for a in sets for b in sets if a < b and a // 2000 != b // 2000 and near(a, b)}
+    assert {tuple(r) for r in neardup.candidates(nodes, True, 7).collect()} == want
+    alone = nodes.withColumn("root", nodes.node)
+    every, some = ({tuple(r) for r in neardup.candidates(alone, x, 4096).collect()} for x in (True, False))
+    assert some <= every and {a for x in some for a in x} == {a for x in every for a in x} and len(some) < 2 * len(sets)
+
+
+def test_fingerprint_bits():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 254, 255, 256, 700, 5000):
+        h = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        words = np.stack([h, *(neardup.mix(h + s) for s in neardup._SHIFT)], axis=1)
+        want = [sum(1 << b for b in range(64) if 2 * int((words[:, w] >> np.uint64(b) & np.uint64(1)).sum()) > len(h)) for w in range(4)]
+        assert [int(x) for x in neardup.wide_fingerprint(h)] == want
+
+
 def test_edge_cases(spark):
     rows = [(None, "alone here", "en"), (None, "alone here", "en"), (5, "Same text here now", "en"), (4, "same  text here now", "en"), (4, "same text here", "en"), (9, None, "en"), (8, "", "en"), (7, " \n", None)]
     got = sorted(map(tuple, neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()), key=repr)

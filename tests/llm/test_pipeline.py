@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 pipeline = pytest.importorskip("corpus_pipeline")
 
 from gridweave.llm import mixing, quality, simhash, toxicity  # noqa: E402
-from tests.llm.test_simhash import slow_components, slow_fp  # noqa: E402
+from tests.llm.test_neardup import slow_kept  # noqa: E402
 
 
 def test_stages(spark, sf_dir):
@@ -30,8 +30,7 @@ def test_stages(spark, sf_dir):
     assert ids(kept["quality"]) == ids(good)
     assert ids(kept["toxicity"]) == ids(toxicity.score(kept["quality"], toxicity.fit(docs, labels)).where("toxic_predicted = 0"))
     rows = sorted(kept["toxicity"].select("doc_id", "text").collect())
-    components = slow_components([r.doc_id for r in rows], [slow_fp(r.text) for r in rows])
-    assert ids(kept["near_duplicates"]) == sorted(set(components))
+    assert ids(kept["near_duplicates"]) == slow_kept([(r.doc_id, r.text) for r in rows])
     copies = mixing.mix(kept["near_duplicates"]).where("copies > 0").select(F.explode(F.array_repeat("doc_id", F.col("copies").cast("int"))).alias("doc_id"))
     assert ids(kept["mixture"]) == ids(copies) == ids(kept["pieces"])
     assert sorted(map(repr, pipeline.run(spark, sf_dir).collect())) == sorted(map(repr, kept["pieces"].collect()))
