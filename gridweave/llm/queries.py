@@ -57,12 +57,13 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = r"""
-WITH d AS (
+WITH r AS (
   SELECT doc_id, source,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         coalesce(0.1::DOUBLE + length(regexp_replace(text, '[^a-z]+', '', 'g'))::DOUBLE / nullif(length(text), 0)::DOUBLE, 0.1::DOUBLE) AS w,
+         length(regexp_replace(text, '[^\p{Ll}\p{Lo}\p{M}]+', '', 'g')) / nullif(length(text), 0)::DOUBLE AS share,
          (('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
   FROM documents
+), d AS (SELECT *, coalesce(0.1::DOUBLE + share * share * share, 0.1::DOUBLE) AS w FROM r
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
          ((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight

@@ -2,6 +2,7 @@ import math
 from hashlib import md5
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from gridweave.llm import mixing
@@ -28,10 +29,8 @@ def slow_targets(sizes, weights=(1, 2, 3), cap=3):
 
 
 def slow_mix(rows):
-    import re
-
-    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
-    weight = lambda t: 0.1 + len(re.findall("[a-z]", t)) / len(t) if t else 0.1
+    size = lambda t: len(regex.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    weight = lambda t: 0.1 + (len(regex.findall(r"[\p{Ll}\p{Lo}\p{M}]", t)) / len(t)) ** 3 if t else 0.1
     sizes = {}
     for _, s, t, _ in rows:
         sizes[s] = sizes.get(s, 0) + size(t)
@@ -65,7 +64,7 @@ def test_against_brute_force(spark, rows):
 
 
 def test_rows_repeat_as_decided(spark, rows):
-    df = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("size", "n_chars")
+    df = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("size", "taken").withColumn("mix_size", F.lit(1)).withColumn("bucket", F.lit("b"))
     got = mixing.mixed_rows(df)
     assert got.columns == df.columns
     counts = {(r.doc_id, r.source): r["n"] for r in got.groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -75,6 +74,22 @@ def test_rows_repeat_as_decided(spark, rows):
     assert counts == {k: v for k, v in decided.items() if v}
 
 
+def test_weights_rank_quality_not_languages(spark):
+    texts = ["plain words in a row here", "простые слова в одном ряду", "这里有一些普通的文字", "SHOUTED WORDS IN A ROW", "0.1 0.2 | 33 -- ;; 9"]
+    w = [r.w for r in spark.createDataFrame([(t,) for t in texts], "t string").select(mixing.quality_weight(F.col("t")).alias("w")).collect()]
+    assert min(w[:3]) > 0.5 and max(w[3:]) < 0.2
+
+
+@pytest.mark.parametrize("weight", [1e-6, 0.1, 0.3, 1.0, 50.0])
+def test_no_range_is_hot(spark, weight):
+    n = 60_000
+    df = spark.range(n).select("id", F.lit(1).alias("mix__size"), F.lit(weight).alias("mix__w")).select(*mixing._placed("id"))
+    most = df.groupBy("bucket").count().agg(F.max("count")).first()[0]
+    # 1 / (e * STEPS) of the rows, with room for chance
+    assert most <= n / (math.e * mixing.STEPS) + 6 * math.sqrt(n / (math.e * mixing.STEPS))
+    assert df.where("bucket <> floor(ln(key) * 1024)").count() == 0
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert mixing.mix(df).count() == 0 and mixing.mixed_rows(df).count() == 0
