@@ -15,7 +15,6 @@ one file. Offsets are sums over shards (one small row each) plus running sums in
 from __future__ import annotations
 
 import os
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridweave.llm.runs import Buffers, Segments, blocks, ragged, release
-from gridweave.session import shared_dir, staged
+from gridweave.session import staged, work_path
 
 END_ID = 2
 ROW_INDEX = 1024
@@ -222,6 +221,6 @@ def digest(files: DataFrame) -> DataFrame:
 
 def write_and_digest(docs: DataFrame, tokenizer: str) -> DataFrame:
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/tokens/{uuid.uuid4().hex}"
+    path = work_path(spark, "token-files")
     write(docs, path, tokenizer)
     return digest(read(spark, path))
