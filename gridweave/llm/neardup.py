@@ -8,26 +8,28 @@ within the radius is a candidate; every candidate that is used is verified with
 have fingerprints 38 bits apart on average with a deviation of 6, up to 48 and 6 for the smallest sets, and unlike ones about
 128: at ``RADIUS`` a pair at 0.8 is missed with a probability below 1e-5, others with less.
 
-Scale: a node travels as 56 bytes to the tiles of like size, never its text; the comparisons are quadratic within a quarter of
-size, as the method has it. A tile pair sends on a spanning forest of what it links, so a group of copies is never listed in
-pairs. Verified links contract the groups; only nodes that have a candidate are compared again, across components, once more
-by forests and then by all pairs that are left, each of which has to be verified. Sets are made for nodes with candidates.
+Scale: a node travels as 48 bytes to the tiles of like size, never its text; the comparisons are quadratic within a quarter of
+size, as the method has it. What this first pass sends on is not pairs but (node, tile) for nodes that have a candidate there.
+Only these nodes get their sets, and only they go, with their sets, to these tiles, where a task verifies its candidates row by
+row, leaves out what it has linked already, and sends on a spanning forest. So no group is ever listed in pairs, however large
+it is and however unlike its members are. A tile holds at most ``TILE`` nodes and about ``HASHES`` hashes of sets.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave.llm.quality import utf8_values
-from gridweave.llm.runs import mix, release
-from gridweave.llm.simhash import bit_sums, components, forest, keep_first, shingle_hashes
+from gridweave.llm.runs import mix, ragged, release
+from gridweave.llm.simhash import bit_sums, components, keep_first, shingle_hashes
 from gridweave.session import staged
 
 SHINGLE = 5
@@ -35,11 +37,10 @@ SHINGLE = 5
 LEAST = (4, 5)
 #: Bits by which fingerprints of similar sets differ at most, and those of sets with fewer than ``FEW`` shingles.
 RADIUS, RADIUS_FEW, FEW = 64, 76, 8
-#: Candidates this near go first, as they are nearly always similar: they contract the groups of copies.
-TIGHT = 24
 WORDS = 4
-#: Nodes of a tile, and pairs that one numpy step compares.
+#: Nodes of a tile, hashes of their sets, and pairs that one numpy step compares.
 TILE = 4096
+HASHES = 2_000_000
 STEP = 1 << 16
 #: Size classes to a factor of 5 / 4.
 CLASSES = 5
@@ -66,15 +67,6 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")
 
 
-def similar(a: bytes, b: bytes, least: tuple[int, int] = LEAST) -> bool:
-    """Whether two sets, as bytes of ordered hashes, are at least so similar."""
-    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
-    both = np.concatenate([x, y])
-    both.sort()
-    common = int((both[1:] == both[:-1]).sum())
-    return least[1] * common >= least[0] * (len(both) - common)
-
-
 def members(docs: DataFrame) -> DataFrame:
     """(doc_id, th, node, size, w0 to w3) for every row; null texts count as empty. Whole texts, one narrow pass."""
 
@@ -104,24 +96,10 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.dropDuplicates(["node"]).mapInArrow(run, "node long, hashes binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = [similar(x.as_py(), y.as_py()) for x, y in zip(b.column("x"), b.column("y"), strict=True)]
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def near_pairs(a: dict[str, np.ndarray], b: dict[str, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions in a and b (in a alone if b is None, each pair once), and distances, of what is within the radius, of like size and
-    of different roots."""
+def near_pairs(a: dict[str, np.ndarray], b: dict[str, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in a and b (in a alone if b is None, each pair once) of what is within the radius and of like size."""
     other = a if b is None else b
-    out: list[tuple[np.ndarray, ...]] = []
+    out: list[tuple[np.ndarray, np.ndarray]] = []
     step = max(1, STEP // max(len(other["size"]), 1))
     for at in range(0, len(a["size"]), step):
         z = at + step
@@ -130,132 +108,154 @@ def near_pairs(a: dict[str, np.ndarray], b: dict[str, np.ndarray] | None) -> tup
         for w in NAMES[1:]:
             far += np.bitwise_count(a[w][at:z, None] ^ other[w][None, lo:])
         i, j = np.nonzero(far <= RADIUS_FEW)
-        d = far[i, j].astype(np.int64)
+        d = far[i, j]
         i, j = i + at, j + lo
         x, y = a["size"][i], other["size"][j]
         small, large = np.minimum(x, y), np.maximum(x, y)
-        good = (LEAST[1] * small >= LEAST[0] * large) & (d <= np.where(small < FEW, RADIUS_FEW, RADIUS)) & (a["root"][i] != other["root"][j])
+        good = (LEAST[1] * small >= LEAST[0] * large) & (d <= np.where(small < FEW, RADIUS_FEW, RADIUS))
         if b is None:
             good &= i < j
-        out.append((i[good], j[good], d[good]))
-    return tuple(np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in range(3))  # type: ignore[return-value]
-
-
-def spanning(roots: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Which of the candidates (i, j, distance) span what they link, given the components of the nodes; those of least distance."""
-    order = np.lexsort((j, i, d))
-    _, at = np.unique(roots, return_inverse=True)
-    n = int(at.max(initial=-1)) + 1
-    label, chosen = np.arange(n), []
-    while len(order):
-        x, y = label[at[i[order]]], label[at[j[order]]]
-        order, x, y = order[x != y], x[x != y], y[x != y]
-        if not len(order):
-            break
-        # the nearest candidate of each component joins it to another; Boruvka's rounds, ties by position
-        first = np.full(n, len(order))
-        np.minimum.at(first, x, np.arange(len(order)))
-        np.minimum.at(first, y, np.arange(len(order)))
-        take = np.unique(first[first < len(order)])
-        chosen.append(order[take])
-        label = forest(np.concatenate([np.arange(n), x[take]]), np.concatenate([label, y[take]]), n)
-    return np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
-
-
-def candidates(nodes: DataFrame, every: bool = False, tile: int = TILE) -> DataFrame:
-    """(a, b) of ``nodes`` (node, size, w0 to w3, root): candidates of different roots, tile pair by tile pair.
-
-    A spanning forest of each tile pair's candidates, and of its tight ones; with ``every``, all of them.
-    """
+        out.append((i[good], j[good]))
+    return (np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def links_of(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the candidates (i, j) that are similar and link what is not linked yet; ``label`` holds components and is updated."""
+    used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    if not len(used):
+        return i, j
+    sizes = np.array([len(sets[k]) for k in used], np.int64)
+    known, codes = np.unique(np.concatenate([sets[k] for k in used]), return_inverse=True)
+    first = np.cumsum(sizes) - sizes
+    mark = np.zeros(len(known), bool)
+    a, b = at[: len(i)], at[len(i) :]
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    cuts = np.flatnonzero(np.diff(a, prepend=-1, append=-1))
+    out: list[tuple[int, int]] = []
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        x = a[lo]
+        ys = b[lo:hi]
+        ys = ys[label[used[ys]] != label[used[x]]]
+        if not len(ys):
+            continue
+        mine = codes[first[x] : first[x] + sizes[x]]
+        mark[mine] = True
+        common = np.add.reduceat(mark[codes[ragged(first[ys], sizes[ys])]], np.cumsum(sizes[ys]) - sizes[ys], dtype=np.int64)
+        mark[mine] = False
+        for y in ys[LEAST[1] * common >= LEAST[0] * (sizes[x] + sizes[ys] - common)].tolist():
+            old, new = label[used[y]], label[used[x]]
+            if old != new:
+                label[label == max(old, new)] = min(old, new)
+                out.append((int(used[x]), int(used[y])))
+    got = np.array(out, np.int64).reshape(-1, 2)
+    return got[:, 0], got[:, 1]
+
+
+def _tiled(batches: Iterator[pa.RecordBatch], columns: list[str], compare: Callable[..., list[np.ndarray]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of (tile, role): those at home in a tile, in parts, then its visitors, in parts. ``compare`` gets the tile, what
+    is at home and a part (None: home in itself), and gives columns."""
+    current, homes, carried = None, None, {}
+    for b in batches:
+        t, role = np.asarray(b.column("tile")), np.asarray(b.column("role"))
+        cols: dict[str, Any] = {x: np.asarray(b.column(x)) for x in columns}
+        cols |= {w: np.asarray(b.column(w)).view(np.uint64) for w in NAMES}
+        if "hashes" in b.schema.names:
+            cols["hashes"] = np.array([None, *(np.frombuffer(x.as_buffer(), "<u8") for x in b.column("hashes"))], object)[1:]
+        cuts = np.flatnonzero((t[1:] != t[:-1]) | (role[1:] != role[:-1])) + 1
+        out: list[list[np.ndarray]] = []
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(t)], strict=True):
+            if lo == hi:
+                continue
+            if t[lo] != current:
+                current, homes, carried = t[lo], None, {}
+            part = {x: v[lo:hi].copy() for x, v in cols.items()}
+            if role[lo] == 0:
+                if homes is not None:
+                    out.append(compare(current, homes, part, carried, True))
+                out.append(compare(current, part, None, carried, True))
+                homes = part if homes is None else {x: np.concatenate([homes[x], part[x]]) for x in part}
+            elif homes is not None:
+                out.append(compare(current, homes, part, carried, False))
+        out = [x for x in out if len(x[0])]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out])) for k in range(len(names))], names)
+    release()
+
+
+def _near_tiles(tile: int, a: dict[str, np.ndarray], b: dict[str, np.ndarray] | None, carried: dict[str, Any], home: bool) -> list[np.ndarray]:
+    i, j = near_pairs(a, b)
+    mine, other = np.unique(a["node"][i]), np.unique((a if b is None else b)["node"][j])
+    node = np.concatenate([mine, other])
+    role = np.concatenate([np.zeros(len(mine), np.int32), np.full(len(other), 0 if home else 1, np.int32)])
+    return [np.full(len(node), tile, np.int64), role, node]
+
+
+def _links(tile: int, a: dict[str, np.ndarray], b: dict[str, np.ndarray] | None, carried: dict[str, Any], home: bool) -> list[np.ndarray]:
+    i, j = near_pairs(a, b)
+    nodes, sets = (a["node"], a["hashes"]) if b is None else (np.concatenate([a["node"], b["node"]]), [*a["hashes"], *b["hashes"]])
+    # components of what is at home are carried on from part to part, those of visitors are not
+    roots: dict[int, int] = carried
+    label = np.array([roots.get(n, n) for n in nodes.tolist()], np.int64)
+    x, y = links_of(list(sets), i, j if b is None else j + len(a["node"]), label)
+    if home:
+        moved = {n: r for n, r in zip(nodes.tolist(), label.tolist(), strict=True)}
+        for n, r in list(roots.items()):
+            roots[n] = moved.get(r, r)
+        roots |= moved
+    return [nodes[x], nodes[y]]
+
+
+def layout(nodes: DataFrame, tile: int = TILE, hashes: int = HASHES) -> tuple[DataFrame, DataFrame, int]:
+    """``nodes`` with the tile of each, (tile, to) with the tiles that may hold similar nodes, each pair once, and the number of tiles."""
     cls = F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(LEAST[1] / LEAST[0]) / CLASSES) + F.lit(1e-9)).cast("int")
     count = F.bit_count(F.col("w0")) + F.bit_count(F.col("w1")) + F.bit_count(F.col("w2")) + F.bit_count(F.col("w3"))
     placed = nodes.withColumn("cls", cls).withColumn("ones", count)
-    # at most 257 counts of about 10 classes to each doubling of size
-    cells = placed.groupBy("cls", "ones").agg(F.count(F.lit(1)).alias("n"))
+    # at most 257 counts of about 16 classes to each doubling of size: a bounded table
+    cells = placed.groupBy("cls", "ones").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("most"))
     before = Window.partitionBy("cls").orderBy("ones").rowsBetween(Window.unboundedPreceding, -1)
-    cells = staged(cells.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "near-cells")
-    within = F.floor((F.col("before") + F.pmod(F.xxhash64("node"), F.col("n"))) / tile).cast("int")
+    room = F.greatest(F.lit(1), F.least(F.lit(tile), F.floor(F.lit(hashes) / F.max("most").over(Window.partitionBy("cls")))))
+    cells = staged(cells.select("cls", "ones", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), room.cast("long").alias("room")), "near-cells")
     named = lambda c, s: (c.cast("long") * F.lit(1 << 32) + s)
-    home = placed.join(F.broadcast(cells), ["cls", "ones"]).withColumn("tile", named(F.col("cls"), within)).drop("n", "before")
-    subs = cells.select("cls", "ones", F.explode(F.sequence(F.floor(F.col("before") / tile).cast("int"), F.floor((F.col("before") + F.col("n") - 1) / tile).cast("int"))).alias("sub"))
+    part = F.floor((F.col("before") + F.pmod(F.xxhash64("node"), F.col("n"))) / F.col("room")).cast("int")
+    home = placed.join(F.broadcast(cells), ["cls", "ones"]).withColumn("tile", named(F.col("cls"), part)).drop("n", "before", "room", "cls", "ones")
+    last = F.floor((F.col("before") + F.col("n") - 1) / F.col("room")).cast("int")
+    subs = cells.select("cls", "ones", F.explode(F.sequence(F.floor(F.col("before") / F.col("room")).cast("int"), last)).alias("sub"))
     tiles = staged(subs.groupBy("cls", "sub").agg(F.min("ones").alias("lo"), F.max("ones").alias("hi")), "near-tiles")
-    moves = F.explode(F.sequence(F.lit(0), F.lit(CLASSES))).alias("d")
-    t, u = tiles.select("*", moves).alias("t"), tiles.alias("u")
+    t, u = tiles.select("*", F.explode(F.sequence(F.lit(0), F.lit(CLASSES))).alias("d")).alias("t"), tiles.alias("u")
     near = (F.col("t.lo") - F.col("u.hi") <= RADIUS_FEW) & (F.col("u.lo") - F.col("t.hi") <= RADIUS_FEW)
-    twice = F.col("t.cls") + F.col("t.d") == F.col("u.cls")
-    pairs = t.join(u, twice).where(near & ((F.col("t.d") > 0) | (F.col("t.sub") < F.col("u.sub"))))
-    pairs = pairs.groupBy(named(F.col("t.cls"), F.col("t.sub")).alias("tile")).agg(F.collect_set(named(F.col("u.cls"), F.col("u.sub"))).alias("to"))
-    fields = ["node", "size", "root", *NAMES]
-    own = home.select("tile", F.lit(0).alias("role"), *fields)
-    visit = home.select("tile", *fields).join(pairs, "tile").select(F.explode("to").alias("tile"), F.lit(1).alias("role"), *fields)
-    spread = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(tiles.count() / 2))
-    dealt = own.unionByName(visit).repartition(spread, "tile").sortWithinPartitions("tile", "role", "node")
-
-    def found(a: dict[str, np.ndarray], b: dict[str, np.ndarray] | None) -> list[tuple[np.ndarray, np.ndarray]]:
-        i, j, d = near_pairs(a, b)
-        if not len(i):
-            return []
-        other, shift = (a, 0) if b is None else (b, len(a["node"]))
-        both = a if b is None else {x: np.concatenate([a[x], b[x]]) for x in ("node", "root")}
-        if every:
-            return [(a["node"][i], other["node"][j])]
-        tight = np.flatnonzero(d <= TIGHT)
-        some = np.unique(np.concatenate([spanning(both["root"], i, j + shift, d), tight[spanning(both["root"], i[tight], j[tight] + shift, d[tight])]]))
-        return [(a["node"][i[some]], other["node"][j[some]])]
+    pairs = t.join(u, F.col("t.cls") + F.col("t.d") == F.col("u.cls")).where(near & ((F.col("t.d") > 0) | (F.col("t.sub") < F.col("u.sub"))))
+    return home, pairs.select(named(F.col("t.cls"), F.col("t.sub")).alias("tile"), named(F.col("u.cls"), F.col("u.sub")).alias("to")), tiles.count()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[dict[str, np.ndarray]] = []
-        homes, current = None, None
-        for b in batches:
-            t, role = np.asarray(b.column("tile")), np.asarray(b.column("role"))
-            cols = {x: np.asarray(b.column(x)) for x in ("node", "size", "root")} | {w: np.asarray(b.column(w)).view(np.uint64) for w in NAMES}
-            cuts = np.flatnonzero((t[1:] != t[:-1]) | (role[1:] != role[:-1])) + 1
-            out: list[tuple[np.ndarray, np.ndarray]] = []
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(t)], strict=True):
-                if lo == hi:
-                    continue
-                if t[lo] != current:
-                    current, parts, homes = t[lo], [], None
-                part = {x: v[lo:hi].copy() for x, v in cols.items()}
-                if role[lo] == 0:
-                    if homes is not None:
-                        out += found(homes, part)
-                    out += found(part, None)
-                    parts.append(part)
-                    homes = part if len(parts) == 1 else {x: np.concatenate([p[x] for p in parts]) for x in part}
-                elif homes is not None:
-                    out += found(homes, part)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out])) for k in (0, 1)], ["a", "b"])
-        release()
 
-    return dealt.mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def located(nodes: DataFrame, tile: int = TILE, hashes: int = HASHES) -> tuple[DataFrame, int]:
+    """(tile, role, node): nodes with a candidate in a tile, role 0 if the tile is their own; and the number of tiles."""
+    home, pairs, tiles = layout(nodes, tile, hashes)
+    fields = ["node", "size", *NAMES]
+    to = pairs.groupBy("tile").agg(F.collect_set("to").alias("to"))
+    own = home.select("tile", F.lit(0).alias("role"), *fields)
+    visit = home.select("tile", *fields).join(to, "tile").select(F.explode("to").alias("tile"), F.lit(1).alias("role"), *fields)
+    dealt = _dealt(own.unionByName(visit), tiles)
+    return dealt.mapInArrow(lambda x: _tiled(x, ["node", "size"], _near_tiles, ["tile", "role", "node"]), "tile long, role int, node long").distinct(), tiles
 
 
-def _rooted(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
-    node: Column = F.col("node")
-    if roots is None:
-        return nodes.withColumn("root", node)
-    return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", node))
+def _dealt(rows: DataFrame, tiles: int) -> DataFrame:
+    """Tasks by tiles, not by bytes: what takes time is the comparisons."""
+    spread = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), tiles)
+    return rows.repartition(spread, "tile").sortWithinPartitions("tile", "role", "node")
 
 
-def groups(docs: DataFrame, tile: int = TILE) -> DataFrame:
+def groups(docs: DataFrame, tile: int = TILE, hashes: int = HASHES) -> DataFrame:
     """(doc_id, th, root) for every row: rows of one root are linked by similar pairs. Texts without words are one group."""
     rows = staged(members(docs), "near-rows")
     nodes = rows.where("size > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", *NAMES)], F.min("th").alias("th"))
     nodes = staged(nodes, "near-nodes")
-    # forests of all nodes, then of those that have a candidate, then all that is left between components
-    tried = staged(candidates(_rooted(nodes.drop("th"), None), tile=tile), "near-candidates")
-    live = tried.select(F.col("a").alias("node")).union(tried.select("b")).distinct()
-    live = staged(nodes.join(live, "node", "left_semi"), "near-live")
-    sets = staged(sets_of(docs, live.select("node", "th")), "near-sets")
-    links = staged(verified(tried, sets), "near-links")
-    roots = staged(components(links), "near-roots")
-    for every in (False, True):
-        more = staged(candidates(_rooted(live.drop("th"), roots), every, tile).join(tried, ["a", "b"], "left_anti"), "near-candidates")
-        links = links.unionByName(staged(verified(more, sets), "near-links"))
-        roots = staged(components(links), "near-roots")
-        tried = tried.unionByName(more)
+    places, tiles = located(nodes.drop("th"), tile, hashes)
+    places = staged(places, "near-places")
+    live = nodes.join(places.select("node").distinct(), "node", "left_semi")
+    sets = staged(live.drop("th").join(sets_of(docs, live.select("node", "th")), "node"), "near-sets")
+    found = _dealt(places.join(sets, "node"), tiles).mapInArrow(lambda x: _tiled(x, ["node", "size"], _links, ["a", "b"]), "a long, b long")
+    roots = staged(components(staged(found, "near-links")), "near-roots")
     return rows.join(roots, "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("root"))
 
 

@@ -69,22 +69,38 @@ def test_tiles_lose_no_link(spark, tile):
     rows = [(k, " ".join([*(f"x{k}y{x}" for x in range(k)), *base[k:]])) for k in range(30)]
     rows += [(100 + k, " ".join([*(f"c{x}" for x in range(k % 7 + 60)), f"end{k}"])) for k in range(40)]
     rows += [(200 + k, " ".join(f"s{x}" for x in range(k))) for k in range(30)]
-    got = neardup.groups(spark.createDataFrame(rows, SCHEMA), tile).collect()
+    got = neardup.groups(spark.createDataFrame(rows, SCHEMA), tile, 700 if tile == 16 else neardup.HASHES).collect()
     want = slow_kept(rows)
     assert len({r.root for r in got}) == len(want) < len(rows)
 
 
-def test_candidates_against_all_pairs(spark):
+def test_places_against_all_pairs(spark):
     rows = planted(12, 5)
     sets = {i: neardup.shingle_set(t.encode()) for i, t in rows}
     fps = {i: neardup.wide_fingerprint(s) for i, s in sets.items()}
-    nodes = spark.createDataFrame([(i, len(sets[i]), i // 2000, *(int(w) for w in fps[i].view(np.int64))) for i in sets], "node long, size long, root long, w0 long, w1 long, w2 long, w3 long")
+    nodes = spark.createDataFrame([(i, len(sets[i]), *(int(w) for w in fps[i].view(np.int64))) for i in sets], "node long, size long, w0 long, w1 long, w2 long, w3 long")
     near = lambda a, b: int(np.bitwise_count(fps[a] ^ fps[b]).sum()) <= neardup.RADIUS and 5 * min(len(sets[a]), len(sets[b])) >= 4 * max(len(sets[a]), len(sets[b]))
-    want = {(a, b) for a in sets for b in sets if a < b and a // 2000 != b // 2000 and near(a, b)}
-    assert {tuple(r) for r in neardup.candidates(nodes, True, 7).collect()} == want
-    alone = nodes.withColumn("root", nodes.node)
-    every, some = ({tuple(r) for r in neardup.candidates(alone, x, 4096).collect()} for x in (True, False))
-    assert some <= every and {a for x in some for a in x} == {a for x in every for a in x} and len(some) < 2 * len(sets)
+    pairs = [(a, b) for a in sets for b in sets if a < b and near(a, b)]
+    for tile, hashes in ((7, 1 << 30), (4096, 1500), (4096, 1 << 30)):
+        home = {r.node: r.tile for r in neardup.layout(nodes, tile, hashes)[0].collect()}
+        got = {(r.tile, r.role, r.node) for r in neardup.located(nodes, tile, hashes)[0].collect()}
+        met = {frozenset((n, m)) for t, r, n in got if r == 0 for u, _, m in got if u == t and m != n}
+        assert all(frozenset(p) in met for p in pairs) and {n for _, _, n in got} == {n for p in pairs for n in p}
+        assert all((home[n] == t) == (r == 0) for t, r, n in got)
+        at_home = {n: len([m for m in home if home[m] == home[n]]) for n in home}
+        assert all(at_home[n] <= tile and (at_home[n] - 1) * len(sets[n]) <= hashes for n in home)
+
+
+def test_links_against_all_pairs():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 60).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(40, 60), replace=False), rng.integers(0, 2**63, rng.integers(0, 6)).astype(np.uint64)])) for _ in range(60)]
+    i, j = np.triu_indices(60, 1)
+    true = [(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))]
+    label = np.arange(60)
+    x, y = neardup.links_of(sets, i, j, label)
+    assert set(zip(x.tolist(), y.tolist(), strict=True)) <= set(true) and len(x) == 60 - len(set(label.tolist())) and 2 < len(x) < len(true)
+    assert all(label[a] == label[b] for a, b in true)
 
 
 def test_fingerprint_bits():
