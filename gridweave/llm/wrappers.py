@@ -1,16 +1,20 @@
 """HTML extraction by union-free regular-expression wrappers.
 
-A page is a stream of tokens: tags (with class, id and role) and text slots. For each host, the streams of a few pages are
-aligned one after the other: tandem repeats fold into repeated groups, and what is in one stream only becomes an optional
-group, so that the wrapper is a regular expression without unions, of tags, text slots, ``( )?`` and ``( )+``. The tags that
-every page of the host has, in order, are the wrapper's anchors. The anchor that encloses the main text is found once for the
-host: an article or main element, else the smallest anchored element with most of the text that isn't boilerplate.
-
-Pages that follow their host's anchors are read by the wrapper; others are wrapped by themselves, as a host of one page.
-
-Scale: at most ``PAGES`` pages of a host are aligned, picked by a rank that is limited before the shuffle, so a host with a
-third of all pages is no larger than others. Wrappers are a few hundred bytes and are joined to the pages by host; the HTML
-is never shuffled if the wrappers are small enough to be broadcast by their measured size.
+A page is read into blocks of text inside nested block elements. Its expression is folded from that: an element is its tag with
+class, id and role and the expression of its content; neighbours with one tag become a repeated element whose contents are
+aligned, tandem repeats become repeated groups, and each place of text is a slot. The expressions of all pages of one host and
+one kind of page are aligned, one after the other: what is in one only becomes optional. The result is the host's wrapper, a
+regular expression without unions over tags and slots. For each slot it knows how many pages have it, whether its text is the same
+on all of them (then it belongs to the template), and how much of it is links.
+
+The wrapper decides which slots are main text: those of the article (else the main element, else the smallest element with most
+of the text that varies), without boilerplate elements and without the template's own text. A page's blocks are kept as the slots
+say that its expression is matched to. The kind of a page is the way to its article or main element, or, without one, the
+elements of its body, so that templates of one host don't mix.
+
+Scale: HTML is read once, in one narrow pass, and never shuffled. All pages count, but what is shuffled is one row for each distinct
+expression of a host, and (expression, slot) sums, combined before the shuffle. A host's expressions are aligned ``GROUP`` at a time,
+in rounds, so that no task holds a host with a third of all pages. Blocks and slots meet by the expression's hash.
 """
 
 from __future__ import annotations
@@ -20,283 +24,657 @@ import json
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
-from typing import Any
+from typing import Any, NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridweave.llm.runs import release
 from gridweave.llm.urls import host_of
 from gridweave.session import staged
 
-PAGES = 6
-#: Longest group that folds when it repeats, and longest folded stream that is aligned as a whole.
-PERIOD = 12
-STREAM = 2000
+#: Longest group that folds when it repeats; items of one element beyond which their order is given up (a repeated group of optional
+#: items); nested block elements that are told apart. None of these drops text.
+PERIOD = 8
+LONG = 64
+DEPTH = 48
+#: Expressions that one task aligns.
+GROUP = 200
 #: Share of the text that isn't boilerplate which the main element must hold.
 MOST = 0.7
+#: Pages on which a text must be the same to belong to the template, and the share of links from which a slot is a menu.
+CONSTANT = 20
+LINKS = 0.6
 
-#: Elements whose content is not text of a page, and those that end with their start tag.
-RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "object", "head")
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: Elements whose content is raw text and not text of the page, and those that end with their start tag.
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that begin and end a block.
 BLOCK = frozenset(
-    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html"
-    " legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html"
+    " legend li main menu nav noscript object ol option p pre section select summary svg table tbody td template tfoot th thead tr ul".split()
 )
-#: Elements, and words of class, id and role, that mark what is not main text.
-SKIP_TAGS = frozenset("nav aside footer form button select menu dialog label input".split())
+#: Elements, and head words of class, id and role, that mark what is not main text; and words that say nothing by themselves.
+SKIP_TAGS = frozenset("nav aside footer form button select menu dialog label input head noscript template svg object".split())
 SKIP_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies discussion disqus"
-    " footer menu modal nav navbar navigation newsletter notice notices notification popup promo promoted promotion related replies search share sharing sidebar"
+    " footer menu modal nav navbar navigation newsletter notice notices notification popup promo promoted promotion related replies reply search share sharing sidebar"
     " signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^\"'>]|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>", re.S | re.I,
-)
+PLAIN_WORDS = frozenset("area bar block body bottom box buttons col column container content footer group header inner item left links list main outer panel right section slot text top unit wrap wrapper".split())
+#: Elements that a new paragraph or list item closes.
+INLINE = frozenset("p b i em strong a span u small font".split())
+_OPEN = re.compile(r"<(?:(?P<comment>!--)|(?P<other>[!?])|(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*))")
+_PLAIN = re.compile(r"[^\"'>]*")
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
-Token = tuple[str, str, str]  # kind ("<", "</", "#"), tag name, signature or text
 
+# --- pages
 
-def tokenize(page: str) -> list[Token]:
-    """Tags and texts in order; scripts, styles, comments and declarations are left out."""
-    out: list[Token] = []
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            out.append(("#", "", page[at : m.start()]))
-        at = m.end()
-        if m["tag"]:
-            name = m["tag"].lower()
-            if m["end"]:
-                out.append(("</", name, name))
-            else:
-                out.append(("<", name, signature(name, m["attrs"] or "")))
-    if at < len(page):
-        out.append(("#", "", page[at:]))
-    return out
+
+def tag_end(page: str, at: int) -> tuple[int, int]:
+    """Where the attributes that start at ``at`` end, and what follows their tag. A value without a closing quote ends at the next >."""
+    start = at
+    while True:
+        at = _PLAIN.match(page, at).end()  # type: ignore[union-attr]
+        if at >= len(page):
+            return len(page), len(page)
+        if page[at] == ">":
+            return at, at + 1
+        quoted = page[start:at].rstrip()[-1:] == "=" if at - start < 200 else page[at - 200 : at].rstrip()[-1:] == "="
+        close = page.find(page[at], at + 1) if quoted else -1
+        if quoted and close < 0:
+            end = page.find(">", at)
+            return (end, end + 1) if end >= 0 else (len(page), len(page))
+        at = close + 1 if quoted else at + 1
 
 
 def signature(name: str, attrs: str) -> str:
     """The tag with the words of its class, id and role, without digits; hidden elements are marked."""
     if not attrs.strip():
         return name
-    words = {w for a in _ATTR.findall(attrs) for w in re.split(r"[\s_\-]+", re.sub(r"\d+", "", "".join(a[1:]).lower())) if w}
-    return name + "".join(f".{w}" for w in sorted(words)) + ("!" if _HIDDEN.search(attrs) else "")
+    words = {w.strip("-_") for a in _ATTR.findall(attrs) for w in re.sub(r"[\d!.]+", "", "".join(a[1:]).lower()).split()}
+    return name + "".join(f".{w}" for w in sorted(words) if w) + ("!" if _HIDDEN.search(attrs) else "")
 
 
 def skipped(sign: str, main: bool) -> bool:
-    """Whether an element is boilerplate; a header inside the main element is part of it."""
+    """Whether an element is boilerplate; a header inside the main element is part of it. Of a compound word its head counts."""
     name, *words = sign.rstrip("!").split(".")
-    return sign.endswith("!") or name in SKIP_TAGS or (name == "header" and not main) or not SKIP_WORDS.isdisjoint(words)
-
-
-def walk(tokens: list[Token]) -> Iterator[tuple[Token, tuple[str, ...]]]:
-    """Each token with the signatures of the open elements (its own included). End tags close what they can; paragraphs and
-    list items close each other."""
-    stack: list[tuple[str, str]] = []
-    for t in tokens:
-        kind, name, sign = t
-        if kind == "<":
-            if name in ("p", "li") or (name in BLOCK and stack and stack[-1][0] == "p"):
-                while stack and stack[-1][0] in ("p", "b", "i", "em", "strong", "a", "span", "u", *(("li",) if name == "li" else ())):
-                    stack.pop()
-            if name not in VOID:
-                stack.append((name, sign))
-            yield t, tuple(s for _, s in stack)
-        elif kind == "</":
-            yield t, tuple(s for _, s in stack)
-            if any(n == name for n, _ in stack):
-                while stack.pop()[0] != name:
+    if name in ("html", "body", "main"):
+        return False
+    if sign.endswith("!") or name in SKIP_TAGS or (name == "header" and not main):
+        return True
+    return any(_head(w) in SKIP_WORDS for w in words)
+
+
+def _head(word: str) -> str:
+    parts = [p for p in re.split(r"[-_]+", word) if p]
+    while len(parts) > 1 and parts[-1] in PLAIN_WORDS:
+        parts.pop()
+    return parts[-1] if parts else ""
+
+
+class Page(NamedTuple):
+    """Children as (key, children or block number); the blocks' texts and their characters inside links."""
+
+    kids: list[Any]
+    blocks: list[str]
+    links: list[int]
+
+
+def parse(page: str) -> Page:
+    """Blocks in their block elements, in one pass over the page whose time is linear.
+
+    End tags close what they can; paragraphs and list items close each other. Elements deeper than ``DEPTH`` count as their
+    ancestor there. Text inside inline boilerplate is left out.
+    """
+    root: list[Any] = []
+    blocks: list[str] = []
+    links: list[int] = []
+    # name, children, whether it is a level of its own, whether what is inside is left out
+    stack: list[tuple[str, list[Any], bool, bool]] = [("", root, False, False)]
+    opened: dict[str, int] = {}
+    run: list[str] = []
+    in_link, depth = [0], 0
+
+    def flush() -> None:
+        if run:
+            text = " ".join(html.unescape("".join(run)).split())
+            if text:
+                stack[-1][1].append(("#", len(blocks)))
+                blocks.append(text)
+                links.append(min(in_link[0], len(text)))
+            run.clear()
+        in_link[0] = 0
+
+    def say(text: str) -> None:
+        if not stack[-1][3]:
+            run.append(text)
+            if opened.get("a"):
+                in_link[0] += len(text.strip())
+
+    def pop() -> str:
+        nonlocal depth
+        name, _, level, _ = stack.pop()
+        opened[name] -= 1
+        depth -= level
+        return name
+
+    at = 0
+    while True:
+        m = _OPEN.search(page, at)
+        if m is None:
+            say(page[at:])
+            break
+        if m.start() > at:
+            say(page[at : m.start()])
+        if m["comment"]:
+            end = page.find("-->", m.start() + 2)
+            at = len(page) if end < 0 else end + 3
+            continue
+        if m["other"]:
+            end = page.find(">", m.end())
+            at = len(page) if end < 0 else end + 1
+            continue
+        name = m["tag"].lower()
+        stop, at = tag_end(page, m.end())
+        if m["end"]:
+            if name in BLOCK:
+                flush()
+            if opened.get(name):
+                while True:
+                    if stack[-1][2]:
+                        flush()
+                    if pop() == name:
+                        break
+            continue
+        if name in RAW:
+            close = re.compile(f"</{name}(?=[\\s/>])", re.I).search(page, at)
+            at = len(page) if close is None else tag_end(page, close.end())[1]
+            continue
+        attrs = page[m.end() : stop]
+        if name == "br":
+            say(" ")
+        if name in BLOCK:
+            flush()
+            if name == "p" or stack[-1][0] == "p" or opened.get("p") and stack[-1][0] in INLINE:
+                while stack[-1][0] in INLINE:
+                    pop()
+            if name == "li":
+                while stack[-1][0] in INLINE or stack[-1][0] == "li":
+                    pop()
+            if opened.get("head") and name != "head" and name not in SKIP_TAGS:
+                while pop() != "head":
                     pass
-        else:
-            yield t, tuple(s for _, s in stack)
+        if name in VOID or attrs.endswith("/") and name in ("svg", "object", "template"):
+            continue
+        sign = signature(name, attrs)
+        level = name in BLOCK and depth < DEPTH
+        kids = stack[-1][1]
+        if level:
+            kids = []
+            stack[-1][1].append(("<" + sign, kids))
+        stack.append((name, kids, level, stack[-1][3] or (not level and skipped(sign, True))))
+        opened[name] = opened.get(name, 0) + 1
+        depth += level
+    flush()
+    return Page(root, blocks, links)
 
 
-# --- wrappers: items are symbols (strings) or groups ("+", items) and ("?", items), as tuples
+# --- expressions
 
 
-def symbols(tokens: list[Token]) -> list[Any]:
-    out: list[Any] = []
-    for kind, _, sign in tokens:
-        if kind != "#":
-            out.append(kind + sign)
-        elif sign.strip():
-            out.append("#")
-    return out
+class Item(NamedTuple):
+    """A slot (key "#"), an element ("<" and its signature) or a group (""), with a flag: "", "?", "+" or "*" (both)."""
 
+    key: str
+    flag: str
+    content: tuple[Any, ...]
 
-def fold(items: list[Any], period: int = PERIOD) -> list[Any]:
-    """Replace what repeats at once by a repeated group, short groups first."""
-    for p in range(1, period + 1):
-        out: list[Any] = []
-        i = 0
-        while i < len(items):
-            if items[i : i + p] == items[i + p : i + 2 * p] and i + 2 * p <= len(items):
-                unit, j = items[i : i + p], i + 2 * p
-                while items[j : j + p] == unit:
-                    j += p
-                out.append(unit[0] if p == 1 and isinstance(unit[0], tuple) and unit[0][0] == "+" else ("+", tuple(unit)))
-                i = j
-            else:
-                out.append(items[i])
-                i += 1
-        items = out
-    return absorb(items)
+
+Items = tuple[Item, ...]
+
+
+def _flag(optional: bool, repeated: bool) -> str:
+    return ("*" if repeated else "?") if optional else ("+" if repeated else "")
+
+
+def name_of(x: Item) -> str:
+    """What items are compared by."""
+    return x.key or "(" + " ".join(name_of(y) for y in x.content) + ")"
+
+
+def merge(a: Item, b: Item, neighbours: bool = False) -> Item:
+    """The item that covers two of one name: in the same place of two pages, or neighbours on one."""
+    optional = (a.flag in ("?", "*") and b.flag in ("?", "*")) if neighbours else (a.flag in ("?", "*") or b.flag in ("?", "*"))
+    content = a.content if a.content == b.content else align(a.content, b.content)
+    return Item(a.key, _flag(optional, neighbours or a.flag in ("+", "*") or b.flag in ("+", "*")), content)
+
+
+def plain_key(key: str) -> str:
+    """An element's key without class words; boilerplate stays marked."""
+    return key if key == "#" else "<" + re.split(r"[.!]", key[1:])[0] + ("!" if skipped(key[1:], True) else "")
 
 
-def absorb(items: list[Any]) -> list[Any]:
-    """A single occurrence of a repeated group next to it becomes part of it."""
-    out: list[Any] = []
+def collapse(items: list[Item]) -> Items:
+    """Any order of the items: a repeated group of optional ones; without class words if they are many."""
+    for keyed in (lambda k: k, plain_key):
+        found: dict[str, Item] = {}
+
+        def put(x: Item) -> None:
+            if not x.key:
+                for y in x.content:
+                    put(y)
+                return
+            x = Item(keyed(x.key), _flag(True, x.flag in ("+", "*")), x.content)
+            found[x.key] = merge(found[x.key], x) if x.key in found else x
+
+        for x in items:
+            put(x)
+        if len(found) <= LONG:
+            break
+    return (Item("", "*", tuple(found.values())),)
+
+
+def fold(items: list[Item]) -> Items:
+    """Neighbours of one name become a repeated item, tandem repeats a repeated group."""
+    out: list[Item] = []
     for x in items:
-        out.append(x)
-        while len(out) >= 2 and isinstance(out[-1], tuple) and out[-1][0] == "+":
-            unit = list(out[-1][1])
-            before = out[-1 - len(unit) : -1]
-            if before == unit or (len(out) >= 2 and out[-2] == out[-1]):
-                cut = len(unit) if before == unit else 1
-                del out[-1 - cut : -1]
+        if out and name_of(out[-1]) == name_of(x):
+            out[-1] = merge(out[-1], x, True)
+        else:
+            out.append(x)
+    names = [name_of(x) for x in out]
+    for p in range(2, min(PERIOD, len(out) // 2) + 1):
+        i, made, made_names = 0, [], []
+        while i < len(out):
+            if names[i : i + p] == names[i + p : i + 2 * p]:
+                unit, j = out[i : i + p], i + p
+                while names[j : j + p] == names[i : i + p] and j + p <= len(out):
+                    unit = [merge(a, b) for a, b in zip(unit, out[j : j + p], strict=True)]
+                    j += p
+                made.append(Item("", "+", tuple(unit)))
+                made_names.append(name_of(made[-1]))
+                i = j
             else:
-                break
-    return out
+                made.append(out[i])
+                made_names.append(names[i])
+                i += 1
+        out, names = made, made_names
+    return collapse(out) if len(out) > LONG else tuple(out)
 
 
-def align(a: list[Any], b: list[Any]) -> list[Any]:
+def align(a: Items, b: Items) -> Items:
     """The union-free expression that covers both."""
-    out: list[Any] = []
-    for op, i, j, k, m in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        left, right = a[i:j], b[k:m]
+    names_a, names_b = [name_of(x) for x in a], [name_of(x) for x in b]
+    if names_a == names_b:
+        return tuple(merge(x, y) for x, y in zip(a, b, strict=True))
+    if any(len(x) == 1 and not x[0].key and x[0].flag == "*" for x in (a, b)):
+        return collapse([*a, *b])
+    out: list[Item] = []
+    for op, i, j, k, m in SequenceMatcher(None, names_a, names_b, autojunk=False).get_opcodes():
         if op == "equal":
-            out += left
-        elif len(left) == 1 and isinstance(left[0], tuple) and left[0][0] in "+?" and right == list(left[0][1]):
-            out += left
-        elif len(right) == 1 and isinstance(right[0], tuple) and right[0][0] == "+" and left == list(right[0][1]):
-            out += right
-        else:
-            for part in (left, right):
-                if part:
-                    out.append(part[0] if len(part) == 1 and isinstance(part[0], tuple) and part[0][0] == "?" else ("?", tuple(part)))
+            out += [merge(x, y) for x, y in zip(a[i:j], b[k:m], strict=True)]
+            continue
+        for part, names in ((a[i:j], names_a[i:j]), (b[k:m], names_b[k:m])):
+            # one occurrence of a group that the other side repeats
+            whole = "(" + " ".join(names) + ")"
+            other = [x for x in (*a[i:j], *b[k:m]) if not x.key and name_of(x) == whole]
+            if other and len(part) > 1:
+                part = (Item("", "", tuple(part)),)
+            out += [Item(x.key, _flag(True, x.flag in ("+", "*")), x.content) for x in part]
     return fold(out)
 
 
-def show(items: Any) -> str:
-    return " ".join(x if isinstance(x, str) else f"({show(x[1])}){x[0]}" for x in items)
+def expression(page: Page) -> Items:
+    """The page's own expression. Where the folded one is ambiguous, so that it doesn't match the page, the order is given up."""
+    folded = folded_expression(page)
+    return folded if Wrapper(folded).match(page.kids) is not None else loose(page.kids)
 
 
-def infer(pages: list[str]) -> dict[str, Any]:
-    """The wrapper of pages of one host: its expression, its anchors, and the signature of the main element ("" if none).
+def folded_expression(page: Page) -> Items:
 
-    The alignment is of folded streams; a stream longer than ``STREAM`` after folding adds its anchors only.
-    """
-    streams = [tokenize(p) for p in pages]
-    expression: list[Any] | None = None
-    anchors: list[str] | None = None
-    for s in streams:
-        items = symbols(s)
-        flat = [x for x in fold(items) if isinstance(x, str) and x != "#"]
-        anchors = flat if anchors is None else [anchors[i] for t, i, n in _same(anchors, flat) for i in range(i, i + n)]
-        folded = fold(items)
-        if len(folded) <= STREAM:
-            expression = folded if expression is None else align(expression, folded)
-    return {"expression": show(expression or []), "anchors": anchors or [], "main": main_of(streams, anchors or [])}
-
-
-def _same(a: list[str], b: list[str]) -> list[tuple[int, int, int]]:
-    return [(m.b, m.a, m.size) for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()]
-
-
-def main_of(streams: list[list[Token]], anchors: list[str]) -> str:
-    """The anchored element that holds the main text."""
-    opened = {x[1:] for x in anchors if x[0] == "<" and x[1] != "/"}
-    for name in ("article", "main"):
-        named = [x[1:] for x in anchors if x[0] == "<" and re.split(r"[.!]", x[1:])[0] == name and not skipped(x[1:], True)]
+    def build(kids: list[Any]) -> Items:
+        return fold([Item("#", "", ()) if key == "#" else Item(key, "", build(inner)) for key, inner in kids])
+
+    return build(page.kids)
+
+
+def show(items: Items) -> str:
+    def one(x: Item) -> str:
+        if x.key == "#":
+            return "#" + x.flag
+        inner = show(x.content)
+        return f"{x.key}>{' ' + inner if inner else ''} </{x.flag}" if x.key else f"({inner}){x.flag}"
+
+    return " ".join(one(x) for x in items)
+
+
+def dump(items: Items) -> str:
+    return json.dumps(items, ensure_ascii=False, separators=(",", ":"))
+
+
+def load(text: str) -> Items:
+    def one(x: list[Any]) -> Item:
+        return Item(x[0], x[1], tuple(one(y) for y in x[2]))
+
+    return tuple(one(x) for x in json.loads(text))
+
+
+class Wrapper:
+    """An expression whose slots have numbers, in order; matches children of pages or of other expressions."""
+
+    def __init__(self, items: Items) -> None:
+        self.slots = 0
+        #: by slot, the keys of the elements around it
+        self.around: list[tuple[str, ...]] = []
+        self.nodes = self._compile(items, ())
+
+    def _compile(self, items: Items, around: tuple[str, ...]) -> list[Any]:
+        out = []
+        for x in items:
+            slot = -1
+            if x.key == "#":
+                slot, self.slots = self.slots, self.slots + 1
+                self.around.append(around)
+            inner = self._compile(x.content, (*around, x.key) if x.key else around)
+            starts = {x.key} if x.key else set().union(*[n[1] for n in inner])
+            out.append((x.key, starts, x.flag in ("+", "*"), slot, inner))
+        return out
+
+    def match(self, kids: list[Any]) -> dict[int, int] | None:
+        """The slot of each text number among the children, or None if the expression has no place for one of them."""
+        out: dict[int, int] = {}
+        return out if self._all(self.nodes, kids, out) else None
+
+    def _all(self, nodes: list[Any], kids: list[Any], out: dict[int, int]) -> bool:
+        return self._run(nodes, kids, 0, out) == len(kids)
+
+    def _place(self, nodes: list[Any], p: int, key: str) -> tuple[int, str]:
+        """The first node from p on that may start with the key (else with its plain form), and the form."""
+        for form in dict.fromkeys((key, plain_key(key))):
+            for q in range(p, len(nodes)):
+                if form in nodes[q][1]:
+                    return q, form
+        return len(nodes), key
+
+    def _run(self, nodes: list[Any], kids: list[Any], k: int, out: dict[int, int]) -> int:
+        """How far the children are matched from k on. Items that a page lacks are passed over."""
+        p = 0
+        while k < len(kids) and p < len(nodes):
+            p, form = self._place(nodes, p, kids[k][0])
+            if p == len(nodes):
+                break
+            node, exact = nodes[p], form == kids[k][0]
+            while k < len(kids) and (kids[k][0] if exact else plain_key(kids[k][0])) in node[1]:
+                if node[0]:
+                    if node[0] == "#":
+                        out[kids[k][1]] = node[3]
+                    elif not self._all(node[4], kids[k][1], out):
+                        return -1
+                    k += 1
+                else:
+                    far = self._run(node[4], kids, k, out)
+                    if far <= k:
+                        return -1
+                    k = far
+                if not node[2]:
+                    break
+            p += 1
+        return k
+
+
+def loose(kids: list[Any]) -> Items:
+    """An expression that gives up the order of every element's content; it matches whatever the order."""
+    return collapse([Item("#", "", ()) if key == "#" else Item(key, "", loose(inner)) for key, inner in kids]) if kids else ()
+
+
+def kids_of(items: Items) -> list[Any]:
+    """The children that an expression stands for, each item once; texts have the numbers of its slots."""
+    count = [0]
+
+    def build(content: Items) -> list[Any]:
+        out: list[Any] = []
+        for x in content:
+            if x.key == "#":
+                out.append(("#", count[0]))
+                count[0] += 1
+            elif x.key:
+                out.append((x.key, build(x.content)))
+            else:
+                out += build(x.content)
+        return out
+
+    return build(items)
+
+
+#: By slot: pages, the least and the largest hash of its text on a page, characters, characters in links.
+Slot = tuple[int, int, int, int, int]
+FIELDS = ("n", "low", "high", "chars", "links")
+_SLOTS = f"array<struct<{','.join(f'{f}:long' for f in FIELDS)}>>"
+_SLOT_TYPE = pa.list_(pa.struct([(f, pa.int64()) for f in FIELDS]))
+
+
+def combine(parts: list[tuple[Items, list[Slot | None]]]) -> tuple[Items, list[Slot | None]]:
+    """The expression that covers all, and the sums of its slots."""
+    parts = sorted(parts, key=lambda x: dump(x[0]))
+    whole = parts[0][0]
+    for items, _ in parts[1:]:
+        if items != whole:
+            whole = align(whole, items)
+    wrapper = Wrapper(whole)
+    sums: list[Slot | None] = [None] * wrapper.slots
+    for items, slots in parts:
+        for i, k in (wrapper.match(kids_of(items)) or {}).items():
+            a, b = sums[k], slots[i]
+            if a is not None and b is not None:
+                b = (a[0] + b[0], min(a[1], b[1]), max(a[2], b[2]), a[3] + b[3], a[4] + b[4])
+            sums[k] = b if b is not None else a
+    return whole, sums
+
+
+def choose(items: Items, sums: list[Slot | None], pages: int) -> list[bool]:
+    """Which slots of a wrapper are main text."""
+    w = Wrapper(items)
+    chars = [s[3] if s else 0 for s in sums]
+    same = [s is not None and pages >= CONSTANT and s[0] >= CONSTANT and s[1] == s[2] for s in sums]
+
+    def inside(around: tuple[str, ...], main: str) -> bool:
+        at = around.index(main)
+        return not any(skipped(x[1:], i > at) for i, x in enumerate(around))
+
+    keep = [False] * w.slots
+    elements = list(dict.fromkeys(x for around in w.around for x in around))
+    for tag in ("article", "main"):
+        named = [x for x in elements if re.split(r"[.!]", x[1:])[0] == tag and any(x in a and inside(a, x) for a in w.around)]
         if named:
-            return named[0]
-    size: dict[str, int] = {}
-    total = 0
-    for s in streams:
-        for (kind, _, text), path in walk(s):
-            if kind == "#" and not any(skipped(x, False) for x in path):
-                n = len(text.strip())
-                total += n
-                for x in set(path) & opened:
-                    size[x] = size.get(x, 0) + n
-    enough = [(n, x) for x, n in size.items() if n >= MOST * total and total and x.split(".")[0] not in ("html", "body", "p", "b", "span", "a")]
-    return min(enough)[1] if enough else ""
-
-
-def follows(tokens: list[Token], anchors: list[str]) -> bool:
-    """Whether the anchors are among the page's tags, in order."""
-    have = iter(k + s for k, _, s in tokens if k != "#")
-    return all(a in have for a in anchors)
-
-
-def read(page: str, wrapper: dict[str, Any] | None) -> str:
-    """The main text of a page: blocks of the main element without boilerplate, one to a line."""
-    tokens = tokenize(page)
-    if not tokens:
-        return ""
-    if wrapper is None or not wrapper["anchors"] or not follows(tokens, wrapper["anchors"]):
-        wrapper = infer([page])
-    main = wrapper["main"]
-    blocks: list[str] = []
-    now: list[str] = []
-
-    def close() -> None:
-        text = " ".join(html.unescape("".join(now)).split())
-        if text:
-            blocks.append(text)
-        now.clear()
-
-    for (kind, name, text), path in walk(tokens):
-        if kind == "#":
-            inside = path.index(main) if main and main in path else -1
-            if (main and inside < 0) or any(skipped(x, bool(main) and i > inside) for i, x in enumerate(path)):
+            keep = [named[0] in a and inside(a, named[0]) for a in w.around]
+            break
+    else:
+        clear = [not any(skipped(x[1:], False) for x in a) and not (s is not None and s[3] and s[4] > LINKS * s[3]) for a, s in zip(w.around, sums, strict=True)]
+        keep = clear if any(clear) else [not any(skipped(x[1:], False) for x in a) for a in w.around]
+        varies = [k and not t for k, t in zip(keep, same, strict=True)]
+        total = sum(c for c, v in zip(chars, varies, strict=True) if v)
+        held = {x: sum(c for c, v, a in zip(chars, varies, w.around, strict=True) if v and x in a) for x in elements if plain_key(x)[1:] not in ("html", "body", "p", "ul", "ol", "li")}
+        enough = sorted((n, -k, x) for k, (x, n) in enumerate(held.items()) if total and n >= MOST * total)
+        if enough:
+            keep = [k and enough[0][2] in a for k, a in zip(keep, w.around, strict=True)]
+    # the template's own text, where other text shows that pages differ
+    if any(k and not t for k, t in zip(keep, same, strict=True)):
+        keep = [k and not t for k, t in zip(keep, same, strict=True)]
+    return keep
+
+
+def kind_of(items: Items) -> str:
+    """The way to the first article or main element, or the elements of the body."""
+    found: list[str] = []
+
+    def seek(content: Items, way: str, tag: str) -> None:
+        for x in content:
+            if found:
+                return
+            if x.key.startswith("<") and skipped(x.key[1:], False):
                 continue
-            now.append(text)
-        elif name in BLOCK:
-            close()
-        elif name == "br":
-            now.append(" ")
-    close()
-    return "\n".join(blocks)
+            here = f"{way}/{x.key[1:]}" if x.key else way
+            if x.key.startswith("<") and re.split(r"[.!]", x.key[1:])[0] == tag:
+                found.append(here)
+                return
+            seek(x.content, here, tag)
+
+    for tag in ("article", "main"):
+        seek(items, "", tag)
+        if found:
+            return found[0]
+    tops: set[str] = set()
+
+    def top(content: Items) -> None:
+        for x in content:
+            if x.key in ("<html", "<body", "") or x.key.startswith(("<html.", "<body.")):
+                top(x.content)
+            elif x.key != "#" and not skipped(x.key[1:], False):
+                tops.add(x.key)
+
+    top(items)
+    return " ".join(sorted(tops))
+
+
+def apply(own: Items, sums: list[Slot | None], pages: int, wrapper: Items, keep: list[bool]) -> list[bool]:
+    """Which slots of a page's expression the wrapper keeps; one that doesn't match is its own wrapper."""
+    w = Wrapper(wrapper)
+    matched = w.match(kids_of(own)) if w.slots == len(keep) else None
+    if matched is None or len(matched) < len(sums):
+        return choose(own, sums, pages)
+    return [keep[matched[k]] for k in range(len(sums))]
+
+
+def infer(pages: list[str]) -> tuple[Items, list[bool]]:
+    """The wrapper of pages of one host and kind: its expression, and which slots are main text."""
+    parts = []
+    for page in map(parse, pages):
+        own = expression(page)
+        parts.append((own, page_slots(page, own)))
+    whole, sums = combine(parts)
+    return whole, choose(whole, sums, len(pages))
+
+
+def page_slots(page: Page, own: Items) -> list[Slot | None]:
+    """The sums of one page's slots; the text of a slot is that of all its blocks."""
+    return _page_slots(page, Wrapper(own).match(page.kids) or {}, Wrapper(own).slots)
+
+
+def _page_slots(page: Page, slots: dict[int, int], count: int) -> list[Slot | None]:
+    texts: list[list[int]] = [[] for _ in range(count)]
+    for k in range(len(page.blocks)):
+        texts[slots[k]].append(k)
+    out: list[Slot | None] = []
+    for of in texts:
+        h = xxhash.xxh64_intdigest("\n".join([page.blocks[k] for k in of]).encode("utf-8", "surrogatepass")) - (1 << 63)
+        out.append((1, h, h, sum(len(page.blocks[k]) for k in of), sum(page.links[k] for k in of)) if of else None)
+    return out
 
 
-def wrappers(pages: DataFrame, per_host: int = PAGES) -> DataFrame:
-    """(host, wrapper as JSON), from up to ``per_host`` pages of each host, the first in the order of a hash."""
-    ranked = Window.partitionBy("host").orderBy(F.xxhash64("html"), "html")
-    some = pages.where("html is not null and html <> ''").select(host_of(F.col("url")).alias("host"), "html")
-    some = some.withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= per_host).select("host", "html")
+def read(page: str, wrapper: tuple[Items, list[bool]] | None) -> str:
+    """The main text of a page: the blocks in the wrapper's slots of main text, one to a line."""
+    parsed = parse(page)
+    own = expression(parsed)
+    slots = Wrapper(own).match(parsed.kids) or {}
+    sums = page_slots(parsed, own)
+    keep = choose(own, sums, 1) if wrapper is None else apply(own, sums, 1, *wrapper)
+    return "\n".join(t for k, t in enumerate(parsed.blocks) if keep[slots[k]])
 
-    def run(key: tuple[Any, ...], table: pa.Table) -> pa.Table:
-        got = infer(sorted(table["html"].to_pylist()))
-        return pa.table({"host": [key[0].as_py()], "wrapper": [json.dumps(got)]})
 
-    return some.groupBy("host").applyInArrow(run, "host string, wrapper string")
+# --- tables
 
 
-def extract(pages: DataFrame, per_host: int = PAGES, id_col: str = "page_id") -> DataFrame:
+def read_pages(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """(page_id, url, host, kind, own, blocks, slots) for every row: own is the expression as JSON, blocks are (slot, text)."""
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), "url", host_of(F.col("url")).alias("host"), "html")
+    block = pa.struct([("slot", pa.int32()), ("text", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[str, Wrapper]] = {}
+        for whole in batches:
+            for b in (whole.slice(at, 256) for at in range(0, whole.num_rows, 256)):
+                kinds, owns, blocks, sums = [], [], [], []
+                for text in b.column("html").to_pylist():
+                    page = parse(text or "")
+                    items = folded_expression(page)
+                    own = dump(items)
+                    if own not in known:
+                        if len(known) >= 1000:
+                            known.clear()
+                        known[own] = kind_of(items), Wrapper(items)
+                    kind, wrapper = known[own]
+                    slots = wrapper.match(page.kids)
+                    if slots is None:
+                        items = loose(page.kids)
+                        own, kind, wrapper = dump(items), kind_of(items), Wrapper(items)
+                        slots = wrapper.match(page.kids) or {}
+                    kinds.append(kind)
+                    owns.append(own)
+                    blocks.append([{"slot": slots[k], "text": t} for k, t in enumerate(page.blocks)])
+                    sums.append(_structs(_page_slots(page, slots, wrapper.slots)))
+                made = [pa.array(kinds, pa.string()), pa.array(owns, pa.string()), pa.array(blocks, pa.list_(block)), pa.array(sums, _SLOT_TYPE)]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "url", "host")), *made], ["page_id", "url", "host", "kind", "own", "blocks", "slots"])
+        release()
+
+    return rows.mapInArrow(run, "page_id long, url string, host string, kind string, own string, blocks array<struct<slot:int,text:string>>, slots " + _SLOTS)
+
+
+def _structs(sums: list[Slot | None]) -> list[dict[str, int] | None]:
+    return [None if s is None else dict(zip(FIELDS, s, strict=True)) for s in sums]
+
+
+def _sums(column: Any) -> list[list[Slot | None]]:
+    return [[None if s is None else tuple(s[f] for f in FIELDS) for s in row] for row in column.to_pylist()]
+
+
+def infer_wrappers(skeletons: DataFrame, group: int = GROUP) -> DataFrame:
+    """(host, kind, pages, wrapper, slots) from (host, kind, pages, own, slots): in rounds, ``group`` expressions in a task at most."""
+    now = skeletons.select("host", "kind", "pages", F.col("own").alias("wrapper"), "slots")
+    schema = f"host string, kind string, pages long, wrapper string, slots {_SLOTS}"
+    def run(table: pa.Table) -> pa.Table:
+        whole, sums = combine(list(zip(map(load, table["wrapper"].to_pylist()), _sums(table["slots"]), strict=True)))
+        return pa.table({"host": table["host"][:1], "kind": table["kind"][:1], "pages": [sum(table["pages"].to_pylist())], "wrapper": [dump(whole)], "slots": pa.array([_structs(sums)], _SLOT_TYPE)})
+
+    while True:
+        sizes = now.groupBy("host", "kind").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("parts"))
+        dealt = now.join(sizes, ["host", "kind"]).withColumn("part", F.pmod(F.xxhash64("wrapper"), F.col("parts")).cast("int"))
+        most = sizes.agg(F.max("parts")).first()[0]
+        now = staged(dealt.drop("parts").groupBy("host", "kind", "part").applyInArrow(run, schema), "wrappers")
+        if not most or most == 1:
+            return now
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", group: int = GROUP) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages`` (page_id, url, html); null HTML counts as empty.
 
-    Null and odd URLs belong to the host of an empty name. Ties and repeated rows change nothing: every row is read on its own.
+    Null and odd URLs belong to the host of an empty name. Repeated rows stay repeated, each read like the others. Other columns are
+    not looked at. Malformed markup is read as far as it goes, in linear time; an empty table gives an empty result.
     """
-    found = staged(wrappers(pages, per_host), "wrappers")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
-    joined = rows.join(found, "host", "left").select("page_id", "url", "html", "wrapper")
+    rows = staged(read_pages(pages, id_col).withColumn("h", F.xxhash64("own")), "page-blocks")
+    slots = rows.select("host", "h", F.posexplode("slots").alias("slot", "s")).groupBy("host", "h", "slot").agg(
+        F.sum("s.n").alias("n"), F.min("s.low").alias("low"), F.max("s.high").alias("high"), F.sum("s.chars").alias("chars"), F.sum("s.links").alias("links"))
+    slots = slots.groupBy("host", "h").agg(F.array_sort(F.collect_list(F.struct("slot", *FIELDS))).alias("s"))
+    slots = slots.select("host", "h", F.transform("s", lambda x: F.struct(*[x[c].alias(c) for c in FIELDS])).alias("slots"))
+    each = rows.groupBy("host", "h").agg(F.first("kind").alias("kind"), F.first("own").alias("own"), F.count(F.lit(1)).alias("pages"))
+    each = staged(each.join(slots, ["host", "h"], "left").withColumn("slots", F.coalesce("slots", F.array().cast(_SLOTS))), "page-kinds")
+    found = infer_wrappers(each, group).withColumnsRenamed({"pages": "all", "slots": "sums"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, Any] = {}
         for b in batches:
-            texts = []
-            for page, w in zip(b.column("html").to_pylist(), b.column("wrapper").to_pylist(), strict=True):
-                if w is not None and w not in known:
-                    if len(known) >= 1000:
-                        known.clear()
-                    known[w] = json.loads(w)
-                texts.append(read(page or "", known.get(w) if w is not None else None))
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+            kept = []
+            columns = [b.column(c).to_pylist() for c in ("own", "pages", "wrapper", "all")]
+            for own, n, wrapper, every, mine, sums in zip(*columns, _sums(b.column("slots")), _sums(b.column("sums")), strict=True):
+                items = load(wrapper)
+                kept.append(apply(load(own), mine, n, items, choose(items, sums, every)))
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("h"), pa.array(kept, pa.list_(pa.bool_()))], ["host", "h", "keep"])
+
+    keeps = each.join(found, ["host", "kind"]).select("host", "h", "own", "pages", "slots", "wrapper", "all", "sums")
+    keeps = staged(keeps.mapInArrow(run, "host string, h long, keep array<boolean>"), "page-slots")
+    joined = rows.select("page_id", "url", "host", "h", "blocks").join(keeps, ["host", "h"], "left")
+    text = F.array_join(F.transform(F.filter("blocks", lambda b: F.get(F.col("keep"), b["slot"])), lambda b: b["text"]), "\n")
+    return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
