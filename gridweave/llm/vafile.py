@@ -1,14 +1,16 @@
 """Exact top-k search with vector-approximation files.
 
-Components are integers. A candidate block keeps, beside its exact vectors, their quantised cells (``CELL`` integers to a
-cell, so a byte holds one for values up to 8 * 128) with which a scan gives bounds of every inner product: the product with
-the cell's middle, give or take the sum of |q| times half a cell. Exact vectors are then read in the order of the upper
-bound, until no bound left can reach the k-th best exact score (ties included). The bounds come from exact integer
-arithmetic in floating point (all sums are below 2**24 in float32, else float64 is used), so none is wrong by rounding.
-
-Scale: queries and candidates are cut into blocks by a hash of the id, and each pair of blocks is one cogrouped task, so no
-task holds more than a block of each. A pair sends on at most k rows for each query. The number of query blocks is what
-multiplies the candidates' shuffle: it is the query count over ``QUERY_BLOCK``.
+Components are integers. The approximation file holds a byte for each component: the number of a cell of ``width`` integers, the
+least width with which ``LEVELS`` cells cover the values of the table (cells of one integer where they fit, so that bounds are
+tight). A search scans the cells only: the product with the cells' middles, give or take the sum of |q| times half a cell, bounds
+every inner product from both sides. What can't reach the k-th best lower bound of its query is dropped. Exact vectors are read
+for what is left, in the order of the bounds, in two reads: first each query's ``FIRST`` best, which give a k-th exact score, then
+all others whose upper bound still reaches it, after which the result is certain (ties included). Bounds are computed in
+floating point on integers small enough to be exact (float32 below 2**24, else float64), so none is wrong by rounding.
+
+Scale: what is dealt to pairs of query and candidate blocks is cells, an eighth of the exact vectors, and each pair is one
+cogrouped task that sends on what its own k-th lower bound leaves. Exact vectors move once for each read, by a join on
+their row. The number of query blocks is what multiplies the cells' shuffle: it is the query count over ``QUERY_BLOCK``.
 """
 
 from __future__ import annotations
@@ -18,94 +20,116 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridweave.llm.vectors import matrix, valid_vectors
+from gridweave.llm.vectors import distinct_rows, matrix, valid_vectors
 from gridweave.session import staged
 
 QUERY_BLOCK = 4096
-CANDIDATE_BLOCK = 8192
-CELL = 2
+CANDIDATE_BLOCK = 32_768
+#: Cells of a component: a byte.
+LEVELS = 256
+#: Rows of each query that are read first, in multiples of k.
+FIRST = 2
 #: Queries that one numpy product takes at once.
-STEP = 256
+STEP = 64
 
 
-def top_k_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, cell: int = CELL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, candidate id, score) of each query's k best candidates with another id; ties go to the smaller id.
+def cell_width(low: int, high: int, levels: int = LEVELS) -> int:
+    """Integers of one cell, so that ``levels`` cells from ``low`` on reach ``high``."""
+    return max(1, -(-(high - low + 1) // levels))
 
-    Candidates must be in ascending order of id. q and c hold integers (as int64).
+
+def approximations(v: np.ndarray, low: int, width: int) -> np.ndarray:
+    """The cells of integer vectors, a byte each."""
+    return ((v - low) // width).astype(np.uint8)
+
+
+def scan(q: np.ndarray, cells: np.ndarray, low: int, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query, candidate, lower, upper) by position: what may be among the k + 1 best of the block for each query.
+
+    One more than k, as a query's own row may be one of them.
     """
-    cells = np.floor_divide(c, cell)
-    middle = cells * cell + (cell - 1) / 2
-    largest = max(float(np.abs(q).sum(axis=1).max(initial=0)) * float(np.abs(c).max(initial=0) + cell), 1.0)
-    kind = np.float32 if 2 * largest < 2**24 else np.float64
-    scan, slack = middle.astype(kind).T, np.abs(q).sum(axis=1) * ((cell - 1) / 2)
-    exact = c.astype(np.float64)
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    half = (width - 1) / 2
+    reach = float(np.abs(q).sum(axis=1).max(initial=0)) * (max(abs(low), abs(low + width * LEVELS)) + width)
+    kind = np.float32 if 4 * reach < 2**24 else np.float64
+    middle = (cells.astype(kind) * kind(width) + kind(low + half)).T
+    slack = np.abs(q).sum(axis=1) * half
+    out: list[tuple[np.ndarray, ...]] = []
     for at in range(0, len(q), STEP):
-        bound = q[at : at + STEP].astype(kind) @ scan
-        for row in range(len(bound)):
-            upper, near = bound[row], slack[at + row]
-            me = q[at + row].astype(np.float64)
-            order_of = np.arange(len(cid))
-            if len(cid) > 4 * (k + 1):
-                # the (k + 1)-th best lower bound is a floor for the k-th best score among other ids, if ids are unique
-                floor = np.partition(upper, len(upper) - (k + 1))[len(upper) - (k + 1)] - near
-                order_of = np.flatnonzero(upper + near >= floor)
-            order_of = order_of[np.argsort(-upper[order_of], kind="stable")]
-            ids, scores = np.zeros(0, np.int64), np.zeros(0)
-            size = max(2 * (k + 1), 32)
-            while len(order_of):
-                now, order_of = order_of[:size], order_of[size:]
-                now = now[cid[now] != qid[at + row]]
-                ids, scores = np.concatenate([ids, cid[now]]), np.concatenate([scores, exact[now] @ me])
-                best = np.lexsort((ids, -scores))[:k]
-                ids, scores = ids[best], scores[best]
-                if len(ids) == k and len(order_of) and upper[order_of[0]] + near < scores[-1]:
-                    break
-                size *= 2
-            out.append((np.full(len(ids), qid[at + row]), ids, scores))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b, s = (np.concatenate(x) for x in zip(*out, strict=True))
-    return a, b, s.astype(np.int64)
-
-
-def search(queries: DataFrame, candidates: DataFrame, k: int, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k largest inner products with candidates of another id.
-
-    Both have (vec_id, v array<bigint>) with vectors of one length and unique ids (``distinct_ids``); ranks start at 1 and
-    ties go to the smaller id. A query with fewer candidates gets them all. Empty tables give an empty result.
+        product = (q[at : at + STEP].astype(kind) @ middle).astype(np.float64)
+        near = slack[at : at + STEP, None]
+        if len(cells) > k + 1:
+            floor = np.partition(product, len(cells) - (k + 1), axis=1)[:, len(cells) - (k + 1), None] - near
+            i, j = np.nonzero(product + near >= floor)
+        else:
+            i, j = (x.ravel() for x in np.indices(product.shape))
+        out.append((i + at, j, product[i, j] - near[i, 0], product[i, j] + near[i, 0]))
+    return tuple(np.concatenate([x[n] for x in out]) if out else np.zeros(0) for n in range(4))  # type: ignore[return-value]
+
+
+def search(queries: DataFrame, candidates: DataFrame, k: int, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK, levels: int = LEVELS) -> DataFrame:
+    """(query_id, rank, vec_id, score): each query's k largest inner products with candidate rows other than its own.
+
+    Both have (vec_id, vh, v array<bigint>), one row for each (vec_id, vh) (``distinct_rows``); a row is its own only with both
+    equal. Vectors of one length are compared with one another only. Ranks start at 1 for each query row, ties go to the smaller
+    id (of one id, to the smaller vh). A query with fewer candidates gets them all. Empty tables give an empty result.
     """
-    n_q, n_c = queries.count(), candidates.count()
-    blocks_q, blocks_c = max(1, -(-n_q // query_block)), max(1, -(-n_c // candidate_block))
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    span = candidates.agg(F.min(F.array_min("v")), F.max(F.array_max("v")), F.count(F.lit(1))).first()
+    low, high = int(span[0] or 0), int(span[1] or 0)
+    width = cell_width(low, high, levels)
+    blocks_q, blocks_c = max(1, -(-queries.count() // query_block)), max(1, -(-span[2] // candidate_block))
+
+    def quantise(batches):
+        for b in batches:
+            values = np.asarray(b.column("v").flatten())
+            offsets = np.asarray(b.column("v").offsets)
+            cells = pa.BinaryArray.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((offsets - offsets[0]).astype(np.int32)), pa.py_buffer(approximations(values, low, width))])
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("vh"), cells], ["vec_id", "vh", "cells"])
+
+    file = staged(candidates.select("vec_id", "vh", "v").mapInArrow(quantise, "vec_id long, vh long, cells binary"), "va-cells")
+    block = lambda n: F.pmod(F.xxhash64("vec_id", "vh"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.withColumn("qb", block(blocks_q)).withColumn("cb", every(blocks_c))
-    right = candidates.withColumn("cb", block(blocks_c)).withColumn("qb", every(blocks_q))
+    left = queries.withColumn("dim", F.size("v")).withColumn("qb", block(blocks_q)).withColumn("cb", every(blocks_c))
+    right = file.withColumn("dim", F.length("cells")).withColumn("cb", block(blocks_c)).withColumn("qb", every(blocks_q))
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        names = ["query_id", "vec_id", "score"]
         if not a.num_rows or not b.num_rows:
-            return pa.table({n: pa.array([], pa.int64()) for n in names})
-        b = b.sort_by("vec_id")
-        got = top_k_block(np.asarray(a["vec_id"]), matrix(a["v"], np.int64), np.asarray(b["vec_id"]), matrix(b["v"], np.int64), k)
-        return pa.table(dict(zip(names, map(pa.array, got), strict=True)))
-
-    parts = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(run, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return parts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def distinct_ids(vectors: DataFrame) -> DataFrame:
-    """One vector for each id: of several, the smallest in order."""
-    return vectors.groupBy("vec_id").agg(F.min("v").alias("v"))
+            i, j, lower, upper = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+        else:
+            cells = np.frombuffer(b"".join(b["cells"].to_pylist()), np.uint8).reshape(b.num_rows, -1)
+            i, j, lower, upper = scan(matrix(a["v"], np.int64), cells, low, width, k)
+        return pa.table({"query_id": a["vec_id"].take(pa.array(i)), "qh": a["vh"].take(pa.array(i)), "vec_id": b["vec_id"].take(pa.array(j)), "vh": b["vh"].take(pa.array(j)), "lower": lower, "upper": upper})
+
+    keys = ["dim", "qb", "cb"]
+    left_of, right_of = left.groupBy(*keys), right.groupBy(*keys)
+    schema = "query_id long, qh long, vec_id long, vh long, lower double, upper double"
+    bounds = left_of.cogroup(right_of).applyInArrow(run, schema).where("query_id <> vec_id or qh <> vh")
+    bounds = staged(bounds, "va-bounds")
+    me = Window.partitionBy("query_id", "qh")
+    # the k-th best lower bound of all blocks
+    kth = bounds.withColumn("n", F.row_number().over(me.orderBy(F.col("lower").desc()))).where(F.col("n") == k).select("query_id", "qh", F.col("lower").alias("floor"))
+    left_over = bounds.join(kth, ["query_id", "qh"], "left").where("floor is null or upper >= floor")
+    ordered = staged(left_over.withColumn("n", F.row_number().over(me.orderBy(F.col("upper").desc(), "vec_id", "vh"))).select("query_id", "qh", "vec_id", "vh", "upper", "n"), "va-order")
+    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("vh").alias("qh"), F.col("v").alias("q"))
+    product = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + x)
+
+    def exact(rows: DataFrame) -> DataFrame:
+        return rows.join(candidates, ["vec_id", "vh"]).join(asked, ["query_id", "qh"]).select("query_id", "qh", "vec_id", "vh", product.alias("score"))
+
+    best = me.orderBy(F.col("score").desc(), "vec_id", "vh")
+    first = staged(exact(ordered.where(F.col("n") <= FIRST * k)), "va-first")
+    certain = first.withColumn("n", F.row_number().over(best)).where(F.col("n") == k).select("query_id", "qh", F.col("score").alias("least"))
+    rest = ordered.where(F.col("n") > FIRST * k).join(certain, ["query_id", "qh"]).where("upper >= least")
+    found = first.unionByName(exact(rest.select("query_id", "qh", "vec_id", "vh")))
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def integer_vectors(vectors: DataFrame, scale: float = 64.0) -> DataFrame:
-    """(vec_id, v array<bigint>) with floor(scale * x) for each component x as double; invalid vectors are left out.
+    """(vec_id, vh, v array<bigint>) with floor(scale * x) for each component x as double; invalid vectors are left out.
 
-    Rows that repeat an id count once, as the smallest vector in order.
+    Rows that are equal in id and vector count once.
     """
-    return distinct_ids(valid_vectors(vectors)).select("vec_id", F.transform("v", lambda x: F.floor(F.lit(scale) * x.cast("double"))).alias("v"))
+    rows = distinct_rows(valid_vectors(vectors))
+    return rows.select("vec_id", "vh", F.transform("v", lambda x: F.floor(F.lit(scale) * x.cast("double"))).alias("v"))
 
 
 def top_k(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
