@@ -21,6 +21,7 @@ from gridweave.session import staged
 GIVEN_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.75
+LEAST = 20
 BAD = "label:bad"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -61,19 +62,36 @@ def tokens_of(url: Column) -> Column:
     ))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, least: int = LEAST, held_out: bool = True) -> DataFrame:
     """(tokens, rarest, confidence, support) of the rules tokens -> bad, from ``labelled`` (url, bad 0/1).
 
-    Null URLs and labels don't count. With nothing to learn from there are no rules.
+    Null URLs and labels don't count; a URL counts once, as bad if any of its labels is. With ``held_out``, a third of the URLs (by
+    CRC-32) is kept from mining, and rules whose confidence on it is lower than ``min_confidence``, or that it doesn't show, go.
+    With nothing to learn from there are no rules.
     """
-    items = labelled.where("url is not null and bad is not null").select(tokens_of(F.col("url")).alias("t"), "bad")
-    items = staged(items.select(F.when(F.col("bad") > 0, F.concat("t", F.array(F.lit(BAD)))).otherwise(F.col("t")).alias("items")).where("size(items) > 0"), "url-items")
+    once = labelled.where("url is not null and bad is not null").groupBy("url").agg(F.max("bad").alias("bad"))
+    once = once.select("url", tokens_of(F.col("url")).alias("t"), (F.col("bad") > 0).cast("int").alias("bad"), ((F.crc32(F.col("url").cast("binary")) % 3 == 1) & F.lit(held_out)).alias("out"))
+    once = staged(once, "url-labelled")
+    known = once.where("not out")
+    n = known.count()
+    support = max(min_support, least / max(n, 1))
+    # only tokens of enough bad URLs can be in a rule; of those in the same URLs the first stands for all
+    each = known.select("bad", F.xxhash64("url").cast("decimal(38,0)").alias("h"), F.explode("t").alias("token")).groupBy("token")
+    each = each.agg(F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("n"), F.sum("h").alias("h")).where(F.col("bad") >= F.lit(support * n - 1e-9))
+    used = staged(each.groupBy("n", "h").agg(F.min("token").alias("token")).select("token"), "url-tokens")
+    items = known.select("url", "bad", F.explode("t").alias("token")).join(used, "token").groupBy("url").agg(F.max("bad").alias("bad"), F.array_sort(F.collect_set("token")).alias("t"))
+    items = known.select("url", "bad").join(items.select("url", "t"), "url", "left").select(F.coalesce("t", F.array().cast("array<string>")).alias("t"), "bad")
+    items = staged(items.select(F.when(F.col("bad") > 0, F.concat("t", F.array(F.lit(BAD)))).otherwise(F.col("t")).alias("items")), "url-items")
     empty = "tokens array<string>, rarest string, confidence double, support double"
-    if items.where(F.array_contains("items", BAD)).limit(1).count() == 0:
+    if support > 1 or used.limit(1).count() == 0:
         return labelled.sparkSession.createDataFrame([], empty)
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
+    model = FPGrowth(itemsCol="items", minSupport=min(support, 1.0), minConfidence=min_confidence).fit(items)
     rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD)).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
     rules = staged(rules, "url-rules")
+    if held_out:
+        seen = once.where("out").select("url", "bad", "t", F.explode("t").alias("first")).join(rules.select("tokens", F.col("tokens")[0].alias("first")), "first")
+        seen = seen.where(F.size(F.array_except("tokens", "t")) == 0).groupBy("tokens").agg(F.avg("bad").alias("share")).where(F.col("share") >= min_confidence)
+        rules = rules.join(seen.select("tokens"), "tokens", "left_semi")
     # a rule goes if a proper subset of its tokens is a rule of no lower confidence
     wide = rules.select("tokens", "confidence", F.explode("tokens").alias("t"))
     small = rules.select(F.col("tokens").alias("s"), F.col("confidence").alias("c"), F.col("tokens")[0].alias("t"))
