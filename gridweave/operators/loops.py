@@ -120,3 +120,24 @@ def element_prolongation(clusters: pd.DataFrame) -> pd.DataFrame:
     x = np.linalg.lstsq(k, rhs, rcond=None)[0][: inner.sum()]
     r, c = np.nonzero(np.abs(x) > 1e-14)
     return pd.DataFrame({"i": ids[inner][r], "j": ids[outer][c], "v": x[r, c]})
+
+
+def loop_table(loops: DataFrame, edges: DataFrame) -> DataFrame:
+    """(loop_id, length, closed): the steps of each loop, and whether it comes back to where it began; edges (eid, src, dst)."""
+    ends = loops.join(edges, "eid").select("loop_id", F.explode(F.array(F.struct(F.col("src").alias("v"), F.col("sign").alias("s")), F.struct(F.col("dst").alias("v"), (-F.col("sign")).alias("s")))).alias("e"))
+    even = ends.groupBy("loop_id", F.col("e.v").alias("v")).agg(F.sum("e.s").alias("s")).groupBy("loop_id").agg(F.max(F.abs("s")).alias("s"))
+    return loops.groupBy("loop_id").agg(F.count(F.lit(1)).alias("length")).join(even, "loop_id").select("loop_id", "length", (F.col("s") == 0).alias("closed"))
+
+
+def loop(loops: DataFrame, loop_id: int) -> DataFrame:
+    """(pos, eid, sign) of one loop."""
+    return loops.where(F.col("loop_id") == loop_id).select("pos", "eid", "sign")
+
+
+def preserved(edges: DataFrame, positions: DataFrame, component: int) -> DataFrame:
+    """(i, x): the flow of a constant field across the facets that dual edges (eid, src, dst) stand for; positions are (vid, pos).
+
+    These vectors have no divergence inside, and prolongations are to keep them. An end without a position counts as none.
+    """
+    at = lambda name: positions.select(F.col("vid").alias(name), F.get("pos", F.lit(component)).alias(f"x_{name}"))
+    return edges.join(at("src"), "src").join(at("dst"), "dst").select(F.col("eid").alias("i"), (F.col("x_dst") - F.col("x_src")).alias("x"))

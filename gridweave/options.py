@@ -59,6 +59,12 @@ class Options:
     local_edges: int = 200_000
     #: Vertices that one task is meant to hold; levels are dealt over as many partitions as that takes.
     vertices_per_task: int = 250_000
+    #: Whether coarse levels may be dealt over fewer tasks; then a step must leave less than ``crs_thresh`` of the vertices. Levels of at
+    #: most ``seq_vertices`` are one task's, and tasks become fewer by ``task_factor`` at most in one step.
+    redistribute: bool = True
+    crs_thresh: float = 0.9
+    seq_vertices: int = 1000
+    task_factor: float = 0.25
 
     @classmethod
     def of(cls, **flags: object) -> Options:

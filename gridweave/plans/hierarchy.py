@@ -31,6 +31,9 @@ class Level:
     nnz: int
     p: DataFrame | None = None
     vmap: DataFrame | None = None
+    #: vertices that the step to the next level was to reach, and the tasks this one is dealt over
+    goal: int = 0
+    parts: int = 0
 
 
 @dataclass
@@ -45,6 +48,53 @@ class Hierarchy:
         rows = [(k, x.nv, x.ne, x.nnz) for k, x in enumerate(self.levels)]
         return complexity(spark.createDataFrame(rows, "level int, nv long, ne long, nnz long"))
 
+    def steps(self, spark: SparkSession) -> DataFrame:
+        """(level, nv, goal, reached, parts): what each step was to reach, whether it did, and the tasks of the level."""
+        rows = [(k, x.nv, x.goal, k + 1 < len(self.levels) and self.levels[k + 1].nv <= x.goal, x.parts) for k, x in enumerate(self.levels)]
+        return spark.createDataFrame(rows, "level int, nv long, goal long, reached boolean, parts int")
+
+    def sizes(self, level: int) -> dict[str, int]:
+        """Of a level: unknowns of a vertex, vertices, unknowns, edges, entries."""
+        x = self.levels[level]
+        block = self.block if level else x.matrix.select("i").distinct().count() // max(x.nv, 1) or 1
+        return {"block": block, "vertices": x.nv, "unknowns": x.nv * block, "edges": x.ne, "entries": x.nnz}
+
+    def vector(self, level: int, value: float = 0.0) -> DataFrame:
+        """(i, x) on the rows of a level."""
+        return self.levels[level].matrix.select("i").distinct().select("i", F.lit(value).alias("x"))
+
+    def step(self, level: int) -> DataFrame:
+        """The prolongation from the next level."""
+        return self.levels[level].p
+
+    def sub(self, first: int, last: int | None = None) -> Hierarchy:
+        """The hierarchy of some levels."""
+        return Hierarchy(self.levels[first:last], self.options, self.block)
+
+    def regularized(self, level: int, tol: float = 1e-10) -> DataFrame:
+        """A level's matrix with diagonal entries that are zero (relative to the largest) replaced by one."""
+        a = self.levels[level].matrix
+        d = linalg.diagonal(a)
+        most = float(d.agg(F.max(F.abs("d"))).first()[0] or 0.0)
+        zero = self.vector(level).join(d.where(F.abs("d") > tol * most), "i", "left_anti")
+        return a.join(zero.select("i", F.col("i").alias("j")), ["i", "j"], "left_anti").unionByName(zero.select("i", F.col("i").alias("j"), F.lit(1.0).alias("v")))
+
+    def kernel_errors(self, vector: DataFrame) -> DataFrame:
+        """(level, err): for a vector of the kernel of the finest matrix that all levels have (restricted by averages), the largest
+        entry of A_k x_k, and of x_k - P x_(k+1)."""
+        spark = vector.sparkSession
+        x, rows = vector, []
+        for k, lev in enumerate(self.levels):
+            err = linalg.spmv(lev.matrix, x).agg(F.max(F.abs("x"))).first()[0] or 0.0
+            if lev.p is not None:
+                count = lev.vmap.where("c is not null")
+                coarse = staged(count.join(x.select(F.col("i").alias("f"), "x"), "f").groupBy(F.col("c").alias("i")).agg(F.avg("x").alias("x")), "kernel")
+                back = linalg.axpy(-1.0, linalg.spmv(lev.p, coarse), x.join(lev.p.select("i").distinct(), "i", "left_semi"))
+                err = max(err, back.agg(F.max(F.abs("x"))).first()[0] or 0.0)
+                x = coarse
+            rows.append((k, float(err)))
+        return spark.createDataFrame(rows, "level int, err double")
+
     def n_levels(self) -> int:
         return len(self.levels)
 
@@ -139,10 +189,32 @@ def prolongation(level: int, a: DataFrame, graph: Graph, vmap: DataFrame, o: Opt
     return p
 
 
+def accepted(fine: int, coarse: int, o: Options) -> bool:
+    """Whether a step is taken: it must leave fewer vertices, and where levels may be dealt anew, at most ``crs_thresh`` of them."""
+    return coarse >= max(o.min_coarse_size, 1) and coarse < fine and (not o.redistribute or coarse / fine < o.crs_thresh)
+
+
+def partitions_of(now: int, coarse: int, goal: int, parts: int, o: Options, most: int) -> int:
+    """Tasks of the next level, given those of this one.
+
+    A level of at most ``seq_vertices`` is one task's. Else the tasks become fewer by at most ``task_factor`` where a step missed its
+    goal or slowed down, or where they would hold less than ``vertices_per_task`` each.
+    """
+    if coarse <= o.seq_vertices:
+        return 1
+    if not o.redistribute:
+        return parts
+    slow = coarse > goal or coarse / max(now, 1) > o.crs_thresh
+    fit = level_partitions(coarse, o.vertices_per_task, most)
+    least = max(1, int(parts * o.task_factor))
+    return max(1, min(parts, max(fit, least) if not slow else least))
+
+
 def build(a: DataFrame, options: Options | None = None, free: DataFrame | None = None, graph: Graph | None = None, fixed: DataFrame | None = None) -> Hierarchy:
     """The hierarchy of a symmetric matrix (i, j, v); free (i) lists free rows, graph replaces the one from the matrix.
 
-    It ends at max_levels, at max_coarse_size vertices, or with a step that leaves nothing, too little, or as many vertices.
+    It ends at max_levels, at max_coarse_size vertices, or with a step that isn't ``accepted``. Each step has a goal from first_aaf, aaf
+    and aaf_scale; one that misses it, or slows down, deals the next level over fewer tasks, as ``partitions_of`` says.
     """
     o = options or Options()
     spark = a.sparkSession
@@ -150,7 +222,8 @@ def build(a: DataFrame, options: Options | None = None, free: DataFrame | None =
     a = staged(a, "level")
     g = graph or (weights.algebraic(a, free) if o.energy == "alg" else weights.trivial(weights.topology(a, free)))
     g = Graph(staged(g.vertices, "vertices"), staged(g.edges, "edges"))
-    levels = [Level(a, g, g.vertices.count(), g.edges.count(), a.count())]
+    nv = g.vertices.count()
+    levels = [Level(a, g, nv, g.edges.count(), a.count(), parts=level_partitions(nv, o.vertices_per_task, most))]
     while len(levels) < o.max_levels:
         now = levels[-1]
         k = len(levels) - 1
@@ -159,33 +232,35 @@ def build(a: DataFrame, options: Options | None = None, free: DataFrame | None =
         rounds = clusters_of(k, now.graph, o, fixed if k == 0 else None)
         vmap = staged(coarsen.map_vertices(rounds), "map")
         n = vmap.select("c").distinct().where("c is not null").count()
-        if n == 0 or n < o.min_coarse_size or n >= now.nv:
+        if not accepted(now.nv, n, o):
             break
         p = staged(prolongation(k, now.matrix, now.graph, vmap, o), "p")
-        parts = level_partitions(n, o.vertices_per_task, most)
-        matrix = staged(linalg.rap(now.matrix, p).coalesce(parts), "level")
+        now.goal = goals([now.nv], o, k)[0]
+        parts = partitions_of(now.nv, n, now.goal, now.parts, o, most)
+        # products are dealt by their own size; the level is read over fewer tasks
+        matrix = staged(linalg.rap(now.matrix, p), "level").coalesce(parts)
         coarse = coarsen.coarse_graph(now.graph, vmap)
         coarse = Graph(staged(coarse.vertices.coalesce(parts), "vertices"), staged(coarse.edges.coalesce(parts), "edges"))
         now.p, now.vmap = p, vmap
-        levels.append(Level(matrix, coarse, n, coarse.edges.count(), matrix.count()))
+        levels.append(Level(matrix, coarse, n, coarse.edges.count(), matrix.count(), parts=parts))
     return Hierarchy(levels, o)
 
 
-def goals(sizes: list[int], o: Options) -> list[int]:
-    """The coarsening goal of each level of these sizes."""
-    return [coarsening_goal(k, n, o.first_aaf, o.aaf, o.aaf_scale, o.max_coarse_size) for k, n in enumerate(sizes)]
+def goals(sizes: list[int], o: Options, first: int = 0) -> list[int]:
+    """The coarsening goal of each level of these sizes, from level ``first`` on."""
+    return [coarsening_goal(k, n, o.first_aaf, o.aaf, o.aaf_scale, o.max_coarse_size) for k, n in enumerate(sizes, first)]
 
 
 #: Builders by model name; others may be added.
 REGISTRY: dict[str, Callable[..., Hierarchy]] = {
     "h1_scal": build,
-    "h1_2d": lambda a, **k: build(a, k.pop("options", None) or Options(), **k),
-    "h1_3d": lambda a, **k: build(a, k.pop("options", None) or Options.of(first_aaf=0.05, aaf=0.125, sp_min_frac=0.08), **k),
 }
 
 
 def build_hierarchy(a: DataFrame, model: str = "h1_scal", **arguments: object) -> Hierarchy:
-    """By the name of a model in ``REGISTRY``."""
+    """By the name of a model in ``REGISTRY``; those of vector-valued problems are in ``plans.vectorial``."""
+    from gridweave.plans import vectorial  # noqa: F401
+
     if model not in REGISTRY:
         raise ValueError(f"unknown model {model!r}; known are {sorted(REGISTRY)}")
     return REGISTRY[model](a, **arguments)

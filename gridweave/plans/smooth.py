@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from gridweave.functions.columns import vertex_hash
 from gridweave.functions.dense import pseudo_inverse
-from gridweave.operators.linalg import axpy, diagonal, hybrid_diagonal, spmv, split_by_part, transpose
+from gridweave.operators.linalg import axpy, diagonal, hybrid_diagonal, row_blocks, spmv, split_by_part, transpose
 from gridweave.session import staged
 
 Vectors = tuple[DataFrame, DataFrame]
@@ -159,9 +159,9 @@ def block_colors(a: DataFrame, blocks: DataFrame, stage: bool = True) -> DataFra
 class BlockGaussSeidel(Smoother):
     """x_b += D_b^-1 (b - A x)_b, one colour of blocks after the other; inverses are stored row by row and applied by a join."""
 
-    def __init__(self, a: DataFrame, blocks: DataFrame, pseudo: bool = False, stage: bool = True) -> None:
+    def __init__(self, a: DataFrame, blocks: DataFrame, pseudo: bool = False, stage: bool = True, colors: DataFrame | None = None) -> None:
         super().__init__(a, stage)
-        inverse = block_inverses(a, blocks, pseudo).join(block_colors(a, blocks, stage), "block_id")
+        inverse = block_inverses(a, blocks, pseudo).join(block_colors(a, blocks, stage) if colors is None else colors, "block_id")
         n = F.size("ids")
         e = inverse.select("color", "ids", n.alias("n"), F.posexplode("inv").alias("k", "v"))
         self.inverse = self.hold(e.select("color", F.get("ids", F.floor(F.col("k") / F.col("n")).cast("int")).alias("i"), F.get("ids", (F.col("k") % F.col("n")).cast("int")).alias("j"), "v"))
@@ -181,37 +181,86 @@ class BlockGaussSeidel(Smoother):
         return self._sweep(list(range(self.count))[::-1], x, b, res, res_updated, x_zero)
 
 
+class DynamicBlockGaussSeidel(BlockGaussSeidel):
+    """Block Gauss-Seidel on the blocks that the matrix has by itself: rows with the same columns; ``free`` (i) lists free rows."""
+
+    def __init__(self, a: DataFrame, free: DataFrame | None = None, stage: bool = True, colors: DataFrame | None = None) -> None:
+        blocks = row_blocks(a).select(F.col("block").alias("block_id"), "i")
+        blocks = blocks if free is None else blocks.join(free.select("i"), "i", "left_semi")
+        super().__init__(a, staged(blocks, "blocks") if stage else blocks, stage=stage, colors=colors)
+
+
+def check_parts(part: DataFrame, most: int) -> None:
+    """Raise if a part has more rows than one task is to hold."""
+    largest = part.groupBy("p").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > most:
+        raise ValueError(f"a part has {largest} rows; the limit is {most}")
+
+
+def sweep(i: np.ndarray, j: np.ndarray, v: np.ndarray, b: np.ndarray, backward: bool) -> np.ndarray:
+    """The solution of the lower (or upper) triangle of a matrix given by its entries, row by row."""
+    n = len(b)
+    order = np.lexsort((j, i))
+    i, j, v = i[order], j[order], v[order]
+    first = np.searchsorted(i, np.arange(n + 1))
+    x = np.zeros(n)
+    for r in range(n - 1, -1, -1) if backward else range(n):
+        cols, vals = j[first[r] : first[r + 1]], v[first[r] : first[r + 1]]
+        known = cols > r if backward else cols < r
+        d = vals[cols == r]
+        x[r] = (b[r] - vals[known] @ x[cols[known]]) / d[0] if len(d) else 0.0
+    return x
+
+
 class HybridGaussSeidel(Smoother):
     """Gauss-Seidel inside each part on A's inner entries, all parts at once, with the larger diagonal; part is (i, p).
 
-    A part is one task and must be bounded; the rest of the matrix enters through the residual, which is exact on return.
+    A part is one task, of at most ``MOST`` rows; the rest of the matrix enters through the residual, which is exact on return.
     """
 
+    MOST = 2_000_000
+
     def __init__(self, a: DataFrame, part: DataFrame, stage: bool = True, backward: bool = False) -> None:
         super().__init__(a, stage)
+        check_parts(part, self.MOST)
         inner, _ = split_by_part(a, part)
         d = hybrid_diagonal(a, part)
         self.part, self.backward = part, backward
-        self.inner = inner.where("i <> j").unionByName(d.select("i", F.col("i").alias("j"), F.col("d").alias("v"))).join(part, "i").select(F.col("p").alias("p"), F.col("i").alias("i"), F.col("j").alias("j"), F.col("v").alias("v"))
+        inner = inner.where("i <> j").unionByName(d.select("i", F.col("i").alias("j"), F.col("d").alias("v"))).join(part, "i")
+        self.inner = self.hold(inner.select(F.col("p").alias("p"), F.col("i").alias("i"), F.col("j").alias("j"), F.col("v").alias("v")))
+
+    of_part = staticmethod(sweep)
 
     def update(self, res: DataFrame) -> DataFrame:
-        back = self.backward
+        solve_part, backward = type(self).of_part, self.backward
 
         def run(key: tuple, m: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
             ids = np.unique(r["i"]) if len(r) else np.zeros(0, np.int64)
-            n = len(ids)
-            full = np.zeros((n, n))
             m = m[m["i"].isin(ids) & m["j"].isin(ids)]
-            full[np.searchsorted(ids, m["i"]), np.searchsorted(ids, m["j"])] = m["v"]
-            b = np.zeros(n)
+            b = np.zeros(len(ids))
             b[np.searchsorted(ids, r["i"])] = r["x"]
-            lower = np.triu(full) if back else np.tril(full)
-            return pd.DataFrame({"i": ids, "x": np.linalg.solve(lower, b) if n else b})
+            x = solve_part(np.searchsorted(ids, m["i"]), np.searchsorted(ids, m["j"]), m["v"].to_numpy(), b, backward) if len(ids) else b
+            return pd.DataFrame({"i": ids, "x": x})
 
         r = res.join(self.part, "i").select(F.col("p").alias("p"), F.col("i").alias("i"), F.col("x").alias("x"))
         return self.inner.groupBy("p").cogroup(r.groupBy("p")).applyInPandas(run, "i long, x double")
 
 
+def dense_solve(i: np.ndarray, j: np.ndarray, v: np.ndarray, b: np.ndarray, backward: bool = False) -> np.ndarray:
+    """The solution of the whole matrix, whichever way a sweep would go."""
+    full = np.zeros((len(b), len(b)))
+    full[i, j] = v
+    return np.linalg.solve(full, b)
+
+
+class HybridDirect(HybridGaussSeidel):
+    """The same with the inverse of each part's inner matrix instead of a sweep; parts of at most ``MOST`` rows."""
+
+    MOST = 4000
+
+    of_part = staticmethod(dense_solve)
+
+
 class Proxy(Smoother):
     """``steps`` of another smoother, or with ``symmetric`` a forward and a backward sweep for each."""
 

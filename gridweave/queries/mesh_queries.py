@@ -115,13 +115,14 @@ def graph_partition(spark, d):
     return elastic.partition(g.vertices, clusters, 4)
 
 
-@query(f"WITH {grid_sql(16)}, v AS (SELECT id AS i, CAST(id % 5 AS DOUBLE) AS x FROM ids) SELECT i // 2 AS i, sum(x) AS x FROM v GROUP BY 1")
+@query(f"WITH {grid_sql(16)}, v AS (SELECT id AS i, CAST(id % 5 AS DOUBLE) AS x FROM ids) SELECT 0 AS space, i // 2 AS i, sum(x) AS x FROM v GROUP BY 2 UNION ALL SELECT 1, i // 4, sum(2 * x) FROM v GROUP BY 2")
 def multi_restrict(spark, d):
-    """Two spaces at once; the second has a coarser map. The first result is compared."""
+    """Two spaces at once; the second has a coarser map and another vector."""
     i = spark.range(256).select(F.col("id").alias("i"))
     p = [i.select("i", F.floor(F.col("i") / n).alias("j"), F.lit(1.0).alias("v")) for n in (2, 4)]
-    x = i.select("i", (F.col("i") % 5).cast("double").alias("x"))
-    return elastic.multi_transfer(p, [x, x])[0]
+    x = [i.select("i", (k * (F.col("i") % 5)).cast("double").alias("x")) for k in (1, 2)]
+    a, b = elastic.multi_transfer(p, x)
+    return a.select(F.lit(0).alias("space"), "i", "x").unionByName(b.select(F.lit(1).alias("space"), "i", "x"))
 
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from gridweave.queries.mesh_queries import ORACLE_SQL, QUERIES
+from gridweave.queries.vector_queries import ORACLE_SQL, QUERIES
 
 
 def norm(v):
