@@ -106,6 +106,12 @@ class Buffers:
             self.held[name] = (buffer, 0)
             setattr(self.owner, name, buffer[:0])
 
+    def keep(self, name: str, at: np.ndarray) -> None:
+        """Only the entries ``at`` of an array, in that order."""
+        some = getattr(self.owner, name)[at]
+        self.held[name] = (self.held[name][0], 0)
+        self.push(**{name: some})
+
     def push(self, **arrays: np.ndarray) -> None:
         for name, x in arrays.items():
             buffer, used = self.held[name]
@@ -223,9 +229,17 @@ def blocks(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
 
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The numbers starts[i], ..., starts[i] + counts[i] - 1 of all i, one after the other."""
+    some = counts > 0
+    if not some.all():
+        starts, counts = starts[some], counts[some]
+    if not len(counts):
+        return np.zeros(0, np.int64)
+    # steps of one, and a jump to the next start; a single array of the result's size
     ends = np.cumsum(counts)
-    total = int(ends[-1]) if len(ends) else 0
-    return np.repeat(starts - (ends - counts), counts) + np.arange(total)
+    out = np.ones(int(ends[-1]), np.int64)
+    out[0] = starts[0]
+    out[ends[:-1]] = starts[1:] - starts[:-1] - counts[:-1] + 1
+    return np.cumsum(out, out=out)
 
 
 def release() -> None:
