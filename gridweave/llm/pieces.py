@@ -55,11 +55,17 @@ def mixed(*parts: Any) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = np.uint64(0x9E3779B97F4A7C15)
         for p in parts:
-            h = (h ^ np.asarray(p).astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-            h = h ^ (h >> np.uint64(29))
-            h = h * np.uint64(0x94D049BB133111EB)
-            h = h ^ (h >> np.uint64(32))
-    return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+            # h is new memory after this line, so that the others may write into it
+            h = h ^ np.asarray(p).astype(np.uint64)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0x94D049BB133111EB)
+            h ^= h >> np.uint64(32)
+        h >>= np.uint64(11)
+    out = h.astype(np.float64)
+    out += 0.5
+    out /= float(1 << 53)
+    return out
 
 
 class PieceModel:
@@ -218,7 +224,7 @@ class PieceModel:
         counts = np.bincount(end, minlength=n)
         edge_first = np.concatenate([[0], np.cumsum(counts)])
         # forward sums and best paths, one position of all units at a time
-        total, best, best_length = np.zeros(n), np.zeros(n), np.zeros(n, np.int8)
+        total, best, best_length = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n, np.int8)
         longer = np.arange(len(lengths))
         for j in range(int(lengths.max())):
             longer = longer[lengths[longer] > j]
@@ -226,18 +232,24 @@ class PieceModel:
             each = counts[at]
             e = ragged(edge_first[at], each)
             back = np.repeat(at, each) - length[e]
-            inner = length[e] <= j
-            back = np.where(inner, back, 0)
+            # an edge from the unit's start goes back to a place whose sums stay 0
+            back = np.where(length[e] <= j, back, n)
             cut = np.cumsum(each) - each
-            sums = score[e] + np.where(inner, total[back], 0.0)
+            own = score[e]
+            row = np.repeat(np.arange(len(at)), each)
+            sums = total[back]
+            sums += own
             top = np.maximum.reduceat(sums, cut)
-            total[at] = top + np.log(np.add.reduceat(np.exp(sums - np.repeat(top, each)), cut))
-            sums = score[e] + np.where(inner, best[back], 0.0)
+            sums -= top[row]
+            total[at] = top + np.log(np.add.reduceat(np.exp(sums, out=sums), cut))
+            sums = best[back]
+            sums += own
             top = np.maximum.reduceat(sums, cut)
             best[at] = top
             # of equal ones the longest edge, the last in order
-            hit = np.flatnonzero(sums == np.repeat(top, each))
-            best_length[at[np.repeat(np.arange(len(at)), each)[hit]]] = length[e[hit]]
+            hit = np.flatnonzero(sums == top[row])
+            best_length[at[row[hit]]] = length[e[hit]]
+        total, best = total[:n], best[:n]
         head = np.repeat(first[:-1], lengths)[end]
         back = end - length
         edge_share = np.exp(score + np.where(back >= head, total[np.maximum(back, 0)], 0.0) - total[end])
@@ -450,7 +462,14 @@ class Paths:
         """The edges' ids of all units in order, and how many each unit has (a spelled character counts once)."""
         m, n = self.model, len(self.unit)
         best = ~self.off
-        kinds, which = np.unique(self.unit[best], return_inverse=True)
+        # numbers of units are dense, so a table takes the place of sorting
+        mine = self.unit[best]
+        met = np.zeros(int(mine.max()) + 1 if len(mine) else 0, bool)
+        met[mine] = True
+        kinds = np.flatnonzero(met)
+        index = np.zeros(len(met), np.int64)
+        index[kinds] = np.arange(len(kinds))
+        which = index[mine]
         # the best paths of the distinct units
         at, begin, row = m.first[kinds + 1] - 1, m.first[kinds], np.arange(len(kinds))
         rows, edges = [], []
