@@ -102,7 +102,7 @@ def by_reach(a: DataFrame, f, schema: str, entries: int, values: bool) -> DataFr
 
     def gather(t: pa.Table) -> pa.Table:
         order = np.argsort(t.column("source").to_numpy(), kind="stable")
-        parts = [pickle.loads(t.column("part")[int(k)].as_buffer()) for k in order]
+        parts = [packed.unwired(t.column("part")[int(k)].as_buffer()) for k in order]
         return pa.table({"to": t.column("to")[:1], "part": pa.array([pickle.dumps(parts, protocol=5)], pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
